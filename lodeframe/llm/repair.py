@@ -10,69 +10,75 @@ the documents' keys and counts of ids: any range of ids is decoded from the symb
 from __future__ import annotations
 
 import struct
-import zlib
 
 import numpy as np
 
 MAGIC = b"LFRP0001"
 ROUNDS = 12
 LEAST = 8  # occurrences of a pair that are worth a rule
+GAIN = 0.02  # a round that shortens the sequence by less is the last
 BUCKET_BITS = 18
 
 
-def _frequent(seq: np.ndarray, least: int, most: int) -> np.ndarray:
-    """Ascending keys (left << 32 | right) of up to `most` pairs that occur `least` times or more."""
+def _round(seq: np.ndarray, first: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence with its most frequent pairs replaced by first, first + 1, ..., the pairs as left << 32 | right).
+
+    Pairs are counted by hash bucket. One pair stands for each bucket that is full enough; its occurrences are
+    then counted exactly, and up to `most` pairs with `least` occurrences or more get a nonterminal. A frequent
+    pair that shares its bucket may wait for a later round, whose hash differs.
+    """
     with np.errstate(over="ignore"):
-        bucket = ((seq[:-1] * np.uint32(0x9E3779B1) ^ seq[1:] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - BUCKET_BITS)
+        bucket = ((seq[:-1] * np.uint32(0x9E3779B1 + 2 * first) ^ seq[1:] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - BUCKET_BITS)
     load = np.bincount(bucket, minlength=1 << BUCKET_BITS)
-    # the pairs of the fullest buckets only are counted exactly; a pair's bucket is at least as full as the pair is frequent
-    full = np.sort(load[load >= least])[::-1]
-    if not len(full):
-        return np.zeros(0, np.uint64)
-    bar = max(least, int(full[min(len(full) - 1, most)]))
-    at = np.flatnonzero((load >= bar)[bucket])
-    keys, counts = np.unique(seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], return_counts=True)
-    best = np.flatnonzero(counts >= bar)
-    if len(best) > most:
-        best = np.sort(best[np.argsort(-counts[best], kind="stable")[:most]])
-    return keys[best]
-
-
-def _replaced(seq: np.ndarray, keys: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence with the pairs of keys replaced by first, first + 1, ..., keys in use, in that order)."""
-    left = np.zeros(int(seq.max()) + 1, bool)
-    left[(keys >> np.uint64(32)).astype(np.int64)] = True
-    at = np.flatnonzero(left[seq[:-1]])
+    ranked = np.sort(load[load >= least])
+    if not len(ranked):
+        return seq, np.zeros(0, np.uint64)
+    at = np.flatnonzero((load >= max(least, int(ranked[max(0, len(ranked) - most)])))[bucket])
+    here = bucket[at]
     pair = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
-    rule = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-    hit = keys[rule] == pair
-    at, rule = at[hit], rule[hit]
+    stands = np.zeros(1 << BUCKET_BITS, np.uint64)
+    stands[here] = pair
+    is_it = stands[here] == pair
+    at, here = at[is_it], here[is_it]
+    chosen = np.bincount(here, minlength=1 << BUCKET_BITS) >= least
+    kept = chosen[here]
+    at, here = at[kept], here[kept]
+    if not len(at):
+        return seq, np.zeros(0, np.uint64)
     begins = np.append(True, np.diff(at) != 1)
     run = np.flatnonzero(begins)[np.cumsum(begins) - 1]
-    odd = (np.arange(len(at)) - run) % 2 == 0
-    at, rule = at[odd], rule[odd]
-    used, number = np.unique(rule, return_inverse=True)
+    apart = (np.arange(len(at)) - run) % 2 == 0
+    at, here = at[apart], here[apart]
+    used = np.zeros(1 << BUCKET_BITS, bool)
+    used[here] = True
+    number = np.cumsum(used) - 1
     out = seq.copy()
-    out[at] = first + number
+    out[at] = (first + number[here]).astype(np.uint32)
     keep = np.ones(len(seq), bool)
     keep[at + 1] = False
-    return out[keep], keys[used]
+    return out[keep], stands[used]
 
 
 def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, list[np.ndarray], int]:
-    """(sequence, rules of each round as keys left << 32 | right, number of the first nonterminal)."""
+    """(sequence, rules of each round as left << 32 | right, number of the first nonterminal).
+
+    The rounds end when no pair is frequent enough, or when one has shortened the sequence by less than GAIN.
+    """
     seq = np.ascontiguousarray(ids, np.uint32)
     base = int(seq.max()) + 1 if len(seq) else 1
     rules, first = [], base
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        keys = _frequent(seq, least, max(256, len(seq) // 64))
-        if not len(keys):
+        shorter, used = _round(seq, first, least, max(256, len(seq) // 64))
+        if not len(used):
             break
-        seq, used = _replaced(seq, keys, first)
         rules.append(used)
         first += len(used)
+        gained = len(seq) - len(shorter)
+        seq = shorter
+        if gained < GAIN * len(seq):
+            break
     return seq, rules, base
 
 
@@ -87,33 +93,48 @@ def _lengths(rules: list[np.ndarray], base: int) -> list[np.ndarray]:
     return out
 
 
+def _expansions(rules: list[np.ndarray], base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all nonterminals' ids one after another, where each one's begin, their counts)."""
+    sizes = np.concatenate([np.zeros(0, np.int64), *_lengths(rules, base)])
+    begins = np.cumsum(sizes) - sizes
+    pool, first = np.zeros(int(sizes.sum()), np.uint32), 0
+    for keys in rules:
+        at = begins[first : first + len(keys)]
+        for side in ((keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)):
+            plain = side < base
+            pool[at[plain]] = side[plain]
+            inner = side[~plain] - base
+            n = sizes[inner]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            pool[np.repeat(at[~plain], n) + step] = pool[np.repeat(begins[inner], n) + step]
+            at = at + np.where(plain, 1, sizes[np.maximum(side - base, 0)])
+        first += len(keys)
+    return pool, begins, sizes
+
+
 def expand(seq: np.ndarray, rules: list[np.ndarray], base: int) -> np.ndarray:
     """The ids that a sequence of symbols stands for."""
-    firsts = base + np.cumsum([0] + [len(r) for r in rules])
-    for keys, first in zip(rules[::-1], firsts[:-1][::-1].tolist(), strict=True):
-        is_rule = seq >= first
-        size = 1 + is_rule.astype(np.int64)
-        end = np.cumsum(size)
-        out = np.empty(int(end[-1]) if len(end) else 0, np.uint32)
-        out[end[~is_rule] - 1] = seq[~is_rule]
-        pair = keys[seq[is_rule] - first]
-        out[end[is_rule] - 2] = (pair >> np.uint64(32)).astype(np.uint32)
-        out[end[is_rule] - 1] = pair.astype(np.uint32)
-        seq = out
-    return seq
+    if not len(rules) or not len(seq):
+        return seq.astype(np.uint32)
+    pool, begins, sizes = _expansions(rules, base)
+    pool = np.concatenate([np.arange(base, dtype=np.uint32), pool])
+    begins = np.concatenate([np.arange(base), begins + base])
+    n = np.concatenate([np.ones(base, np.int64), sizes])[seq]
+    end = np.cumsum(n)
+    return pool[np.repeat(begins[seq] - (end - n), n) + np.arange(int(end[-1]))]
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Count, width in bits of whole bytes, and little-endian values, deflated lightly."""
+    """Kind, count, and little-endian values."""
     values = np.ascontiguousarray(values)
-    raw = zlib.compress(values.tobytes(), 1)
-    return struct.pack("<cII", values.dtype.char.encode(), len(values), len(raw)) + raw
+    return struct.pack("<cI", values.dtype.char.encode(), len(values)) + values.tobytes()
 
 
 def _unpacked(blob: bytes, at: int) -> tuple[np.ndarray, int]:
-    kind, n, size = struct.unpack_from("<cII", blob, at)
-    at += struct.calcsize("<cII")
-    return np.frombuffer(zlib.decompress(blob[at : at + size]), np.dtype(kind.decode()), n), at + size
+    kind, n = struct.unpack_from("<cI", blob, at)
+    at += struct.calcsize("<cI")
+    kind = np.dtype(kind.decode())
+    return np.frombuffer(blob, kind, n, at), at + n * kind.itemsize
 
 
 def _narrow(values: np.ndarray) -> np.ndarray:
