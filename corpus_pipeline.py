@@ -6,17 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeframe.llm.queries import tokenizer_path
-from lodeframe.llm import packing
+from lodeframe.llm import decontaminate, jaccard, packing, quality, secrets
+from lodeframe.llm.queries import table, tokenizer_path
 from lodeframe.llm.scratch import written
 
 
+def quality_kept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labelled ones among them, accepts."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def near_copies_gone(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard.one_of_each(docs)
+
+
+def benchmark_gone(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no item of the benchmark."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets_gone(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their secrets replaced by a mark."""
+    return secrets.redacted(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents that are left, packed into sequences of at most 1024 tokens."""
     return packing.pack(docs, tokenizer_path())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality_kept),
+    ("near duplicates", near_copies_gone),
+    ("benchmark decontamination", benchmark_gone),
+    ("secrets", secrets_gone),
     ("packing", packed),
 ]
 
@@ -25,7 +49,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, from the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
     return docs
