@@ -9,10 +9,10 @@ node from the start. The join runs in four passes, none of which holds more than
    those prefixes (for the smaller set a seventh of it, for the larger one a quarter, at 0.75). A partition finds
    the keys that several sets hold and names each such group by its smallest member, its leader. A key whose
    members all share the key before it, too, adds nothing and is left out.
-3. The sets that lie in a group are fetched once for each leader. Within a leader's block, sets are points: their
-   elements hashed into `dims` counts. An R-tree over the points bounds a set's overlap with all sets of a node by
-   the sum of the smaller of its counts and the node's largest ones. Pairs that survive are verified, unless they
-   are connected already; a block returns a spanning forest of its links.
+3. Within a leader's block, sets are points: their elements hashed into groups, and counted. An R-tree over the
+   points bounds a set's overlap with all sets of a node by the sum of the smaller of its counts and the node's
+   largest ones. Only sets that have a partner by this bound stay. Their elements are fetched then, and pairs that
+   survive the bound are verified, unless they are connected already; a block returns a spanning forest of links.
 4. Components are formed from all blocks' forests. A block too large for a task is dealt into tiles, each with the
    leader; where its members don't all come out connected, every pair of tiles is joined in a second round.
 """
@@ -24,6 +24,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ LEAST = 75  # hundredths
 COUNTERS = 1 << 20  # of the sketch
 CHUNK = 1 << 14  # counters of a row that a task writes
 TILE = 1 << 21  # shingles of a block that one task holds
+TILE_SETS = 256  # sets of a block that one task holds
+MOST_DIMS = 4096  # of a count vector
 LEAF = 16  # entries of an R-tree's node
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -277,10 +280,31 @@ class CountTree:
         return at
 
 
-def counted(sets: list[np.ndarray], dims: int) -> np.ndarray:
-    out = np.zeros((len(sets), dims), np.uint16)
-    for k, s in enumerate(sets):
-        out[k] = np.minimum(np.bincount((s & np.uint64(dims - 1)).astype(np.int64), minlength=dims), 65535)
+def dims_of(size: int) -> int:
+    """Dimensions of a set's point: a power of two, so that a count is about one."""
+    return 1 << min(MOST_DIMS.bit_length() - 1, max(4, (size - 1).bit_length()))
+
+
+def counted(s: np.ndarray, dims: int) -> np.ndarray:
+    return np.minimum(np.bincount((s & np.uint64(dims - 1)).astype(np.int64), minlength=dims), 65535).astype(np.uint16)
+
+
+def folded(points: list[np.ndarray]) -> np.ndarray:
+    """Points of as many dimensions as the smallest has; groups that fall together are added."""
+    dims = min(map(len, points))
+    return np.stack([np.minimum(p.reshape(-1, dims).sum(0, dtype=np.int64), 65535).astype(np.uint16) for p in points])
+
+
+def partnered(points: list[np.ndarray], sizes: np.ndarray, least: int) -> np.ndarray:
+    """Which sets have a partner, as far as the bound tells."""
+    order = np.lexsort((np.array([int(p.argmax()) for p in points]), sizes))
+    flat, sizes, out = folded([points[k] for k in order]), sizes[order], np.zeros(len(points), bool)
+    tree = CountTree(flat, sizes)
+    for k in range(len(order)):
+        if not out[order[k]]:
+            near = tree.search(flat[k], int(sizes[k]), least)
+            if len(near) > 1:
+                out[order[near]] = True
     return out
 
 
@@ -293,8 +317,7 @@ def block_forest(sets: list[np.ndarray], component: np.ndarray, cross: np.ndarra
     order = np.lexsort((np.array([int(s[0]) for s in sets], np.uint64), sizes))
     sets, sizes, component = [sets[k] for k in order], sizes[order], component[order].copy()
     side = None if cross is None else cross[order]
-    dims = 1 << min(10, max(4, math.ceil(math.log2(max(1.0, float(np.median(sizes)))))))
-    points = counted(sets, dims)
+    points = folded([counted(x, dims_of(len(x))) for x in sets])
     tree, out = CountTree(points, sizes), []
     for k in range(len(sets)):
         near = tree.search(points[k], int(sizes[k]), least)
@@ -313,40 +336,47 @@ def block_forest(sets: list[np.ndarray], component: np.ndarray, cross: np.ndarra
     return out
 
 
-def _sets(docs: DataFrame, text: str, width: int, wanted: DataFrame, counters: int) -> DataFrame:
-    """fp, s (the set's hashes) of every set in `wanted`, perhaps of more, perhaps several times."""
+def _fetched(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame, as_points: bool) -> DataFrame:
+    """fp, n, x (the set's hashes, or its point) of the sets (fp, least_id) in `wanted`; perhaps of more sets, or several times.
+
+    A set is read from the row with its smallest key; a bitmap of fixed size tells the rows that may be meant.
+    """
     bits = 22
     bitmap = docs.sparkSession.sparkContext.broadcast(_marks(wanted, bits))
 
     def fetched(batches):
         bitmap_, seen = np.frombuffer(bitmap.value, np.uint8), set()
         for batch in batches:
-            sets = shingles(raw_texts(column(batch, "t")), width)
-            prints = [fingerprint(s) for s in sets]
-            at = _bit_of(np.array(prints, np.int64), bits)
-            maybe = bitmap_[at >> 3] >> (at & 7) & 1
-            found = []
-            for k in np.flatnonzero(maybe).tolist():
-                if prints[k] not in seen and len(sets[k]) > 2:
-                    seen.add(prints[k])
-                    found.append(k)
-            if found:
-                yield rows(fp=pa.array([prints[k] for k in found], pa.int64()), s=pa.array([sets[k].tobytes() for k in found], pa.binary()))
+            ids = pc.fill_null(column(batch, "d").cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
+            texts = raw_texts(column(batch, "t"))
+            for a in range(0, len(texts), 512):
+                sets = shingles(texts[a : a + 512], width)
+                prints = np.array([fingerprint(s) for s in sets], np.int64)
+                at = _bit_of(prints, ids[a : a + 512], bits)
+                found = []
+                for k in np.flatnonzero(bitmap_[at >> 3] >> (at & 7) & 1).tolist():
+                    if len(sets[k]) > 2 and prints[k] not in seen:
+                        seen.add(prints[k])
+                        found.append(k)
+                if found:
+                    blobs = [(counted(sets[k], dims_of(len(sets[k]))) if as_points else sets[k]).tobytes() for k in found]
+                    yield rows(fp=pa.array(prints[found]), n=pa.array([len(sets[k]) for k in found], pa.int64()), x=pa.array(blobs, pa.binary()))
 
-    return docs.select(F.col(text).alias("t")).mapInArrow(fetched, "fp long, s binary")
+    return docs.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(fetched, "fp long, n long, x binary")
 
 
-def _bit_of(prints: np.ndarray, bits: int) -> np.ndarray:
-    return (mixed(prints.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+def _bit_of(prints: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(mixed(prints.view(np.uint64)) ^ ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _marks(wanted: DataFrame, bits: int) -> bytes:
-    """A bitmap of fixed size with a bit for every fingerprint of `wanted`: tasks mark theirs, and the marks are merged."""
+    """A bitmap of fixed size with a bit for every (fp, least_id) of `wanted`: tasks mark theirs, and the marks are merged."""
 
     def marked(batches):
         out = np.zeros(1 << bits, bool)
         for batch in batches:
-            out[_bit_of(column(batch, "fp").to_numpy(), bits)] = True
+            ids = pc.fill_null(column(batch, "least_id"), -1).to_numpy(zero_copy_only=False)
+            out[_bit_of(column(batch, "fp").to_numpy(), ids, bits)] = True
         packed = np.packbits(out, bitorder="little").reshape(-1, 1 << 10)
         some = np.flatnonzero(packed.any(1))
         yield rows(k=pa.array(some, pa.int32()), b=pa.array([packed[i].tobytes() for i in some], pa.binary()))
@@ -354,7 +384,7 @@ def _marks(wanted: DataFrame, bits: int) -> bytes:
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"k": [pdf["k"].iloc[0]], "b": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["b"]]).tobytes()]})
 
-    found = wanted.select("fp").mapInArrow(marked, "k int, b binary").groupBy("k").applyInPandas(merged, "k int, b binary").toArrow()
+    found = wanted.select("fp", "least_id").mapInArrow(marked, "k int, b binary").groupBy("k").applyInPandas(merged, "k int, b binary").toArrow()
     out = np.zeros((1 << bits) >> 3, np.uint8).reshape(-1, 1 << 10)
     for k, b in zip(found.column("k").to_pylist(), found.column("b").to_pylist(), strict=True):
         out[k] = np.frombuffer(b, np.uint8)
@@ -362,11 +392,11 @@ def _marks(wanted: DataFrame, bits: int) -> bytes:
 
 
 def _forests(blocks: DataFrame, least: int) -> DataFrame:
-    """a, b: links of every block (leader, low, high) of rows with fp, s, component, side."""
+    """a, b: links of every block (leader, low, high) of rows with fp, x (the set), component, side."""
 
     def linked(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("fp").sort_values("fp", ignore_index=True)
-        sets = [np.frombuffer(s, np.uint64) for s in pdf["s"]]
+        sets = [np.frombuffer(s, np.uint64) for s in pdf["x"]]
         one = pdf["low"].iloc[0] == pdf["high"].iloc[0]
         found = block_forest(sets, pdf["component"].to_numpy(), None if one else pdf["side"].to_numpy(), least)
         fp = pdf["fp"].to_numpy()
@@ -378,26 +408,48 @@ def _forests(blocks: DataFrame, least: int) -> DataFrame:
 # -- the join ----------------------------------------------------------------------------------------------------------
 
 
-def _linked_sets(spark: SparkSession, docs: DataFrame, key: str, text: str, width: int, least: int, counters: int, tile: int, first: DataFrame) -> DataFrame:
+def _live(placed: DataFrame, points: DataFrame, least: int) -> DataFrame:
+    """leader, fp, n of the blocks' members that have a partner there, as far as their points tell."""
+
+    def stay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("fp").sort_values("fp", ignore_index=True)
+        kept = partnered([np.frombuffer(x, np.uint16) for x in pdf["x"]], pdf["n"].to_numpy(), least)
+        return pdf.loc[kept, ["leader", "fp", "n"]]
+
+    return placed.join(points.select("fp", "x"), "fp").groupBy("leader").applyInPandas(stay, "leader long, fp long, n long")
+
+
+def _tiled(groups: DataFrame, tile: int, tile_sets: int) -> DataFrame:
+    """groups with tiles, the number of tasks that a leader's block is dealt to."""
+    sizes = groups.groupBy("leader").agg(F.sum("n").alias("weight"), F.count("*").alias("members"))
+    return groups.join(sizes.select("leader", F.greatest(F.ceil(F.col("weight") / tile), F.ceil(F.col("members") / tile_sets)).cast("int").alias("tiles")), "leader")
+
+
+def _linked_sets(spark: SparkSession, docs: DataFrame, key: str, text: str, width: int, least: int, counters: int, tile: int, tile_sets: int, first: DataFrame) -> DataFrame:
     """node, root of the sets that have links."""
     levels = spark.sparkContext.broadcast(_levels(first, counters))
     parts = partitions(spark)
     groups = written(_groups(_prefixes(docs, key, text, width, least, counters, levels, parts), least, parts), "groups")
-    sizes = groups.groupBy("leader").agg(F.sum("n").alias("weight")).withColumn("tiles", F.ceil(F.col("weight") / tile).cast("int"))
-    placed = groups.join(sizes.select("leader", "tiles"), "leader")
-    sets = written(_sets(docs, text, width, groups, counters).dropDuplicates(["fp"]), "sets")
+    owners = first.filter("kind = 0 and n > 2").groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    owned = lambda some: some.select("fp").distinct().join(owners, "fp")
+    points = _fetched(docs, key, text, width, owned(groups), True)
+    grouped_ = written(_tiled(groups, tile, tile_sets), "tiled")
+    narrow = _live(grouped_.filter("tiles = 1"), points, least)
+    live = written(narrow.unionByName(grouped_.filter("tiles > 1").select("leader", "fp", "n")), "live")
+    sets = written(_fetched(docs, key, text, width, owned(live), False).select("fp", "x"), "sets")
+    placed = written(_tiled(live, tile, tile_sets), "placed")
     own = F.pmod(F.xxhash64("fp", "leader"), F.col("tiles")).cast("int")
     spread = F.when(F.col("fp") == F.col("leader"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(own))
-    tiled = placed.withColumn("low", F.explode(spread)).withColumn("high", F.col("low"))
-    links = written(_forests(tiled.select("leader", "fp", "low", "high").join(sets, "fp").withColumn("component", F.col("fp")).withColumn("side", F.lit(0)), least), "links")
+    dealt = placed.withColumn("low", F.explode(spread)).withColumn("high", F.col("low"))
+    links = written(_forests(dealt.select("leader", "fp", "low", "high").join(sets, "fp").withColumn("component", F.col("fp")).withColumn("side", F.lit(0)), least), "links")
     roots = components(links)
     # blocks of several tiles whose members are not all connected: every pair of tiles
-    wide = written(placed.filter("tiles > 1"), "wide")
-    if wide.isEmpty():
-        return roots
+    wide = placed.filter("tiles > 1")
     known = wide.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("root", "fp")).drop("root")
     apart = known.groupBy("leader").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("leader")
-    again = known.join(apart, "leader").withColumn("side", F.pmod(F.xxhash64("fp", "leader"), F.col("tiles")).cast("int"))
+    again = written(known.join(apart, "leader").withColumn("side", own), "again")
+    if again.isEmpty():
+        return roots
     again = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).filter("side <> other").withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other"))
     more = written(_forests(again.select("leader", "fp", "low", "high", "component", "side").join(sets, "fp"), least), "links")
     return components(links.unionByName(more))
@@ -406,11 +458,11 @@ def _linked_sets(spark: SparkSession, docs: DataFrame, key: str, text: str, widt
 JOINED = "doc_id long, n_shingles long, component_id long"
 
 
-def _joined(docs: DataFrame, key: str, text: str, width: int, least: int, counters: int, tile: int) -> DataFrame:
+def _joined(docs: DataFrame, key: str, text: str, width: int, least: int, counters: int, tile: int, tile_sets: int) -> DataFrame:
     """doc_id, text_hash, n, fp, component_id."""
     spark = docs.sparkSession
     first = written(_first_pass(docs, key, text, width, counters), "shingled")
-    roots = _linked_sets(spark, docs, key, text, width, least, counters, tile, first)
+    roots = _linked_sets(spark, docs, key, text, width, least, counters, tile, tile_sets, first)
     plain = first.filter("kind = 0").select("doc_id", "text_hash", "n", "fp")
     sets = plain.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     placed = written(sets.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
@@ -420,20 +472,20 @@ def _joined(docs: DataFrame, key: str, text: str, width: int, least: int, counte
     return whole.withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, least: int = LEAST, counters: int = COUNTERS, tile: int = TILE) -> DataFrame:
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, least: int = LEAST, counters: int = COUNTERS, tile: int = TILE, tile_sets: int = TILE_SETS) -> DataFrame:
     """One row per row of docs: JOINED. Documents link when their shingle sets' Jaccard similarity is least / 100 or more.
 
     A null or empty text, or one without words, has an empty set and links with nothing. Rows with a null key take
     part, and their component is named by the smallest key in it, null if there is none; repeated rows are in one
     component; an empty table gives an empty result; other columns are not looked at.
     """
-    return _joined(docs, key, text, width, least, counters, tile).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return _joined(docs, key, text, width, least, counters, tile, tile_sets).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, least: int = LEAST, counters: int = COUNTERS, tile: int = TILE) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, least: int = LEAST, counters: int = COUNTERS, tile: int = TILE, tile_sets: int = TILE_SETS) -> DataFrame:
     """The rows of docs, with all their columns, that stay when one document of each component does: the one with the
     smallest key. Of repeated rows (equal key and text) one stays. Rows without a key go if their component has one."""
-    found = _joined(docs, key, text, width, least, counters, tile)
+    found = _joined(docs, key, text, width, least, counters, tile, tile_sets)
     gone = found.filter("doc_id is null and component_id is not null or doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
     gone = written(gone, "gone")
     again = written(found.filter("doc_id is not null and doc_id = component_id and n > 0").groupBy("doc_id", "text_hash").count().filter("count > 1").select(F.col("doc_id").alias("again_id"), F.col("text_hash").alias("again_hash")), "again")

@@ -79,7 +79,7 @@ def test_sets(texts):
 def test_tree_bounds(dims):
     rng = np.random.default_rng(1)
     sets = sorted((np.unique(rng.integers(0, 400, int(n)).astype(np.uint64)) for n in rng.integers(3, 90, 300)), key=len)
-    sizes, points = np.array([len(s) for s in sets]), jaccard.counted(sets, dims)
+    sizes, points = np.array([len(s) for s in sets]), np.stack([jaccard.counted(s, dims) for s in sets])
     tree = jaccard.CountTree(points, sizes)
     for k in range(0, 300, 7):
         found = set(tree.search(points[k], int(sizes[k]), 30).tolist())
@@ -90,11 +90,11 @@ def test_tree_bounds(dims):
     assert len(tree.levels) == 3
 
 
-@pytest.mark.parametrize(("seed", "tile", "counters"), [(1, 1 << 21, 1 << 14), (2, 400, 1 << 14), (3, 150, 256)])
-def test_against_brute_force(spark, seed, tile, counters):
+@pytest.mark.parametrize(("seed", "tile", "tile_sets", "counters"), [(1, 1 << 21, 256, 1 << 14), (2, 400, 3, 1 << 14), (3, 150, 256, 256)])
+def test_against_brute_force(spark, seed, tile, tile_sets, counters):
     rows = copies(seed) + EDGES
     df = spark.createDataFrame([(d, t, None, "x", 5) for d, t in rows], SCHEMA).repartition(3)
-    got = jaccard.jaccard_components(df, tile=tile, counters=counters).collect()
+    got = jaccard.jaccard_components(df, tile=tile, tile_sets=tile_sets, counters=counters).collect()
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, brute(rows)))
 
 
