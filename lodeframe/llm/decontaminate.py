@@ -39,19 +39,21 @@ def canonical(text: Column) -> tuple[Column, Column]:
     marked = F.regexp_replace(marked, r"(?<![\p{L}\p{N}])\p{Nd}+(?![\p{L}\p{N}])", NUMBER)
     marked = F.regexp_replace(marked, rf"(?<={NUMBER} )(?:{'|'.join(UNITS)})\b", UNIT)
     words = lambda c: F.split(F.trim(F.regexp_replace(c, "[^\\p{L}\\p{N}\ue000-\ue002]+", " ")), " ")
-    return words(F.lower(marked)), words(F.lower(plain))
+    template = words(F.lower(marked))
+    return template, F.when(marked == plain, template).otherwise(words(F.lower(plain)))
 
 
 def windows(table: DataFrame, stride: int, *keep: str) -> DataFrame:
     """keep, position, h (hash of the template window), c (its template words), w (its words)."""
-    split = table.select(*keep, F.size("template").alias("n"), "template", "words").filter(F.col("n") >= WINDOW)
-    starts = F.sequence(F.lit(0), F.col("n") - WINDOW, F.lit(stride))
+    # a filter on the template's size, or a generator that drops empty arrays, would have Catalyst build the template
+    # and the windows once more for a filter below; so short texts give an empty array, and an outer generator one null
+    starts = F.when(F.size("template") >= WINDOW, F.sequence(F.lit(0), F.size("template") - WINDOW, F.lit(stride))).otherwise(F.array().cast("array<int>"))
 
     def one(i: Column) -> Column:
         c = F.slice("template", i + 1, WINDOW)
         return F.struct(i.alias("position"), F.xxhash64(c).alias("h"), c.alias("c"), F.slice("words", i + 1, WINDOW).alias("w"))
 
-    return split.select(*keep, F.inline(F.transform(starts, one)))
+    return table.select(*keep, F.inline_outer(F.transform(starts, one)))
 
 
 LEAKS = "doc_id, item_id, kind, n_windows, covered_words, coverage"
@@ -67,13 +69,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     template, words = canonical(F.col("t"))
     items = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(item_text).alias("t")).select("item_id", template.alias("template"), words.alias("words"))
     wanted = windows(items.withColumn("item_words", F.size("template")), 1, "item_id", "item_words")
-    wanted = wanted.filter(F.size(F.filter("c", lambda x: ~x.isin(NAME, NUMBER, UNIT))) >= LITERALS)
+    wanted = wanted.filter("h is not null").filter(F.size(F.filter("c", lambda x: ~x.isin(NAME, NUMBER, UNIT))) >= LITERALS)
     wanted = wanted.select("item_id", "item_words", F.col("position").alias("item_position"), "h", F.col("c").alias("item_c"), F.col("w").alias("item_w"))
     if benchmark.count() and wanted.count() <= SMALL:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("t")).filter("length(t) > 0")
     texts = texts.select("doc_id", "text_hash", template.alias("template"), words.alias("words"))
-    found = windows(texts, STRIDE, "doc_id", "text_hash").join(wanted, "h").filter(F.col("c") == F.col("item_c"))
+    found = windows(texts, STRIDE, "doc_id", "text_hash").join(wanted, "h")
+    # not as a plain equality, from which Catalyst would infer the benchmark's filters for every window
+    found = found.filter(F.coalesce(F.col("c") == F.col("item_c"), F.lit(False)))
     slot = F.transform(F.arrays_zip("c", "item_w", "w"), lambda s: F.struct(s["c"].alias("kind"), s["item_w"].alias("was"), s["w"].alias("now")))
     found = found.withColumn("slots", F.filter(slot, lambda s: s["kind"].isin(NAME, NUMBER, UNIT)))
     offset = F.col("position") - F.col("item_position")
