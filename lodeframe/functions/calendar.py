@@ -20,8 +20,8 @@ def fiscal_quarter(d: Column) -> Column:
 
 
 def fiscal_year_label(d: Column) -> Column:
-    """FY and the last two digits, as in FY26."""
-    return F.concat(F.lit("FY"), F.lpad((fiscal_year(d) % 100).cast("string"), 2, "0"))
+    """FY and the year, as in FY2026."""
+    return F.concat(F.lit("FY"), fiscal_year(d).cast("string"))
 
 
 def quarter_end(d: Column) -> Column:

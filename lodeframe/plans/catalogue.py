@@ -213,7 +213,7 @@ def cte_chain(t):
 @query("""select d as calendar_date, cast(year(d) as smallint) as year, cast(quarter(d) as smallint) as quarter, cast(month(d) as smallint) as month, monthname(d) as month_name, strftime(d, '%Y-%m') as year_month,
 cast(weekofyear(d) as smallint) as week_of_year, cast(isodow(d) as smallint) as day_of_week, dayname(d) as day_name, isodow(d) >= 6 as is_weekend,
 cast(year(d) + case when month(d) >= 4 then 1 else 0 end as smallint) as fiscal_year, cast((month(d) + 8) % 12 // 3 + 1 as smallint) as fiscal_quarter,
-'FY' || lpad(cast((year(d) + case when month(d) >= 4 then 1 else 0 end) % 100 as varchar), 2, '0') as fiscal_year_label,
+'FY' || cast(year(d) + case when month(d) >= 4 then 1 else 0 end as varchar) as fiscal_year_label,
 cast(last_day(cast(date_trunc('quarter', d) + interval 2 month as date)) as date) as quarter_end, cast(year(d) + case when month(d) >= 7 then 1 else 0 end as integer) as model_year
 from (select distinct cast(o_orderdate as date) as d from orders)""")
 def date_dim_fiscal(t):
