@@ -72,4 +72,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# Equivalents by comparing all pairs, where the method leaves no freedom in its result.
+ORACLE_SQL: dict[str, str] = {
+    "op2_jaccard": r"""
+with recursive split as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+shingled as (select doc_id, unnest(case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: hash(array_to_string(w[i : i + 4], ' ')))) when len(w) > 0 then [hash(array_to_string(w, ' '))] else [] end) as s from split),
+sizes as (select doc_id, count(s) as n from (select split.doc_id, s from split left join shingled using (doc_id)) group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as n from shingled a join shingled b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * shared.n >= 75 * (x.n + y.n - shared.n)),
+reached as (select doc_id, doc_id as other from documents union select doc_id, b from reached join links on other = a)
+select doc_id, n as n_shingles, min(other) as component_id from reached join sizes using (doc_id) group by doc_id, n""",
+    "op4_embeddings": """
+with recursive v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings where embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+links as (select x.vec_id as a, y.vec_id as b from v x join v y on x.vec_id <> y.vec_id and len(x.e) = len(y.e) where list_cosine_similarity(x.e, y.e) >= 0.9),
+reached as (select vec_id, vec_id as other from embeddings union select vec_id, b from reached join links on other = a),
+counted as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(max(n), 0) as n_links, min(other) as component_id, vec_id = min(other) as kept from reached left join counted on a = vec_id group by vec_id""",
+}
