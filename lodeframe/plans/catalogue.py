@@ -9,8 +9,14 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodeframe.contract import from_dict
 from lodeframe.functions import calendar
+from lodeframe.generator.tables import Tables
+from lodeframe.generator.world import World
 from lodeframe.operators.asof import asof_join
+from lodeframe.operators.profile import column_stats
+from lodeframe.operators.validate import report_frame
+from lodeframe.sources.files import pinned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -321,3 +327,72 @@ def _with_views(text: str):
 for _name, _text in PATTERNS.items():
     QUERIES[_name] = _with_views(_text)
     ORACLE_SQL[_name] = _text.format(**DIALECT["sql"])
+
+
+# -- the library's own operators over the test tables --------------------------------------------------------------------
+
+LINES = {
+    "tables": {
+        "orders": {"kind": "dimension", "primary_key": ["o_orderkey"], "columns": ["o_orderkey BIGINT", "o_custkey BIGINT 1.."]},
+        "lineitem": {
+            "kind": "fact", "primary_key": ["l_orderkey", "l_linenumber"], "date_column": "ship_date", "foreign_keys": [{"columns": ["l_orderkey"], "references": "orders.o_orderkey"}],
+            "columns": ["l_orderkey BIGINT", "l_linenumber INTEGER 1..7", "l_quantity DOUBLE 2..49", "l_discount DOUBLE 0..0.05", "l_tax DOUBLE", "l_returnflag VARCHAR in A|R", "ship_date DATE"],
+            "checks": [{"name": "discount_within_tax", "expr": "l_discount <= 10 * l_tax"}],
+        },
+    }
+}
+
+
+def _checked(t) -> dict[str, DataFrame]:
+    lines = t("lineitem").withColumn("ship_date", day("l_shipdate"))
+    return {"orders": t("orders").select("o_orderkey", "o_custkey"), "lineitem": lines.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "ship_date")}
+
+
+_FAILS = {
+    "lineitem": {
+        **{f"not_null:{c}": f"{c} is null" for c in ("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag")}, "not_null:ship_date": "l_shipdate is null", "min:l_linenumber": "l_linenumber < 1", "max:l_linenumber": "l_linenumber > 7",
+        "min:l_quantity": "l_quantity < 2", "max:l_quantity": "l_quantity > 49", "min:l_discount": "l_discount < 0", "max:l_discount": "l_discount > 0.05", "allowed_values:l_returnflag": "l_returnflag not in ('A', 'R')", "check:discount_within_tax": "not (l_discount <= 10 * l_tax)",
+    },
+    "orders": {"not_null:o_orderkey": "o_orderkey is null", "not_null:o_custkey": "o_custkey is null", "min:o_custkey": "o_custkey < 1"},
+}
+_VALIDATION_SQL = " union all ".join(
+    [f"select '{t}' as table_name, '{c}' as check, count(*) as failing_rows from {t} where {p}" for t, rules in _FAILS.items() for c, p in rules.items()]
+    + [f"select '{t}', 'primary_key_unique', count(*) from (select 1 from {t} group by {k} having count(*) > 1)" for t, k in (("lineitem", "l_orderkey, l_linenumber"), ("orders", "o_orderkey"))]
+    + ["select 'lineitem', 'foreign_key:l_orderkey', count(*) from (select distinct l_orderkey from lineitem where l_orderkey not in (select o_orderkey from orders))"]
+)
+
+
+@query(_VALIDATION_SQL)
+def validate_lineitem_checks(t):
+    frames = _checked(t)
+    return report_frame(frames["orders"].sparkSession, from_dict(LINES), frames)
+
+
+@query(" union all ".join(f"select '{c}' as column_name, '{k}' as type, count(*) as n_rows, count(*) - count({c}) as nulls, count(distinct {c}) as distinct_values, cast(min({c}) as varchar) as low, cast(max({c}) as varchar) as high, {f'round(avg({c}), 6)' if k == 'BIGINT' else 'cast(null as double)'} as mean from orders" for c, k in (("o_orderkey", "BIGINT"), ("o_custkey", "BIGINT"), ("o_orderstatus", "VARCHAR"), ("o_orderpriority", "VARCHAR"))))
+def profile_orders(t):
+    stats = column_stats(t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    return stats.withColumn("mean", F.round("mean", 6)).withColumnRenamed("distinct", "distinct_values")
+
+
+@query("""select 'orders' as table_name, count(*) as n_rows, min(cast(o_orderdate as date)) as min_date, max(cast(o_orderdate as date)) as max_date from orders
+union all select 'lineitem', count(*), min(cast(l_shipdate as date)), max(cast(l_shipdate as date)) from lineitem union all select 'events', count(*), min(cast(ts as date)), max(cast(ts as date)) from events""")
+def stats_per_table(t):
+    parts = [t(n).agg(F.count("*").alias("n_rows"), F.min(day(c)).alias("min_date"), F.max(day(c)).alias("max_date")).select(F.lit(n).alias("table_name"), "n_rows", "min_date", "max_date") for n, c in (("orders", "o_orderdate"), ("lineitem", "l_shipdate"), ("events", "ts"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def pinned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan by an explicit file list with a declared schema, in the contract's columns."""
+    parts = from_dict({"tables": {"part": {"kind": "dimension", "primary_key": ["p_partkey"], "columns": ["p_partkey BIGINT", "p_brand VARCHAR", "p_retailprice DOUBLE"]}}}).table("part")
+    return pinned(spark, [f"{sf_dir}/part.parquet"], parts).groupBy("p_brand").agg(F.count("*").alias("n"), F.max("p_retailprice").alias("top_price"))
+
+
+def generated_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generator's sales, by type: units, discount rate, cancelled; no table is read."""
+    world = World("tiny")
+    sales = Tables(spark, world).snapshot("fact_sales", world.end)
+    return sales.groupBy("sale_type").agg(F.count("*").alias("units"), F.round(F.avg(F.col("discount_amount").cast("double") / F.col("list_price").cast("double")), 4).alias("discount_rate"), F.count_if("is_cancelled").alias("cancelled"))
+
+
+QUERIES |= {"pinned_scan": pinned_scan, "generated_sales": generated_sales}
+ORACLE_SQL["pinned_scan"] = "select p_brand, count(*) as n, max(p_retailprice) as top_price from part group by p_brand"
