@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from lodeframe.contract import Contract, Table, type_name
 
 SAMPLE = 3  # failing rows shown
+PARALLEL = 8  # checks that run at a time
 
 
 @dataclass(frozen=True)
@@ -93,14 +96,19 @@ def _shown(df: DataFrame) -> tuple[str, ...]:
     return tuple(", ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in df.limit(SAMPLE).collect())
 
 
-def _run(report: Report, table: str, check: str, count, failing: DataFrame | None, detail: str = "") -> None:
-    report.checks_run += 1
+def _checked(table: str, check: str, count: Callable[[], int], failing: DataFrame | None) -> Issue | None:
     try:
         n = count()
-        if n:
-            report.issues.append(Issue(table, check, n, detail, _shown(failing) if failing is not None else ()))
+        return Issue(table, check, n, "", _shown(failing) if failing is not None else ()) if n else None
     except PySparkException as e:
-        report.issues.append(Issue(table, check, 0, f"check could not run: {str(e).splitlines()[0][:300]}"))
+        return Issue(table, check, 0, f"check could not run: {str(e).splitlines()[0][:300]}")
+
+
+def _counts(table: Table, df: DataFrame):
+    try:
+        return rule_counts(table, df).first()
+    except PySparkException:  # one rule's error is found again, by name, when each is run alone
+        return None
 
 
 def validate(contract: Contract, frames: dict[str, DataFrame]) -> Report:
@@ -118,31 +126,34 @@ def validate(contract: Contract, frames: dict[str, DataFrame]) -> Report:
             report.issues.append(Issue(name, "schema", 0, "; ".join(problems)))
         else:
             sound[name] = frames[name]
-    for name, df in sound.items():
-        table = contract.tables[name]
-        rules = row_rules(table)
-        try:
-            row = rule_counts(table, df).first()
-        except PySparkException:
-            row = None
-        if row is not None:
-            report.row_counts[name] = row.n_rows
-            if table.date_column:
-                report.date_ranges[name] = (row.low, row.high)
-        doubles = duplicate_keys(table, df)
-        _run(report, name, "primary_key_unique", doubles.count, doubles)
-        for k, (check, fails) in enumerate(rules.items()):
-            failing = df.filter(fails)
-            shown = failing.select(*dict.fromkeys([*table.primary_key, check.split(":")[1]])) if not check.startswith("check:") else failing
-            _run(report, name, check, (lambda v=row[f"r{k}"]: v) if row is not None else failing.count, shown)
-        for key in table.foreign_keys:
-            check = f"foreign_key:{','.join(key.columns)}"
-            if key.table not in sound:
-                report.checks_run += 1
-                report.issues.append(Issue(name, check, 0, f"{key.table} is missing or invalid"))
-                continue
-            lost = orphans(table, key, df, sound[key.table])
-            _run(report, name, check, lost.count, lost)
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        counted = dict(zip(sound, pool.map(lambda name: _counts(contract.tables[name], sound[name]), sound), strict=True))
+        waiting: list[Issue | Future] = []
+        for name, df in sound.items():
+            table, row = contract.tables[name], counted[name]
+            if row is not None:
+                report.row_counts[name] = row.n_rows
+                if table.date_column:
+                    report.date_ranges[name] = (row.low, row.high)
+            doubles = duplicate_keys(table, df)
+            waiting.append(pool.submit(_checked, name, "primary_key_unique", doubles.count, doubles))
+            for k, (check, fails) in enumerate(row_rules(table).items()):
+                if row is not None and not row[f"r{k}"]:
+                    report.checks_run += 1
+                    continue
+                failing = df.filter(fails)
+                shown = failing if check.startswith("check:") else failing.select(*dict.fromkeys([*table.primary_key, check.split(":")[1]]))
+                waiting.append(pool.submit(_checked, name, check, failing.count if row is None else (lambda n=row[f"r{k}"]: n), shown))
+            for key in table.foreign_keys:
+                check = f"foreign_key:{','.join(key.columns)}"
+                if key.table in sound:
+                    lost = orphans(table, key, df, sound[key.table])
+                    waiting.append(pool.submit(_checked, name, check, lost.count, lost))
+                else:
+                    waiting.append(Issue(name, check, 0, f"{key.table} is missing or invalid"))
+        report.checks_run += len(waiting)
+        found = [w if isinstance(w, Issue) else w.result() for w in waiting]
+    report.issues += [i for i in found if i is not None]
     return report
 
 
