@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm.columns import column, rows
 from lodeframe.llm.graph import components
-from lodeframe.llm.scratch import partitions, written
+from lodeframe.llm.scratch import written
 
 TABLES = 6
 PROBES = 2
 IN_BUCKET = 256  # vectors that a bucket shall hold on average, at most
 TILE = 1024  # members of a bucket that one task compares with as many others
+ROWS = 1 << 14  # of blocks that one call of the comparison gets, about
 
 
 @lru_cache(8)
@@ -166,19 +167,28 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
     schema = "c long, w long, dim int, t int, bucket long, v binary, codes binary"
     members = classes.select("c", "w", "v").mapInArrow(hashed, schema)
     full = members.groupBy("dim", "t", "bucket").agg(F.count("*").alias("n")).filter("n > 1").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
-    full = written(full.select("dim", "t", "bucket", "tiles"), "buckets")
+    full = written(full, "buckets")
+    calls = -(-(full.agg(F.sum(F.col("n") * F.col("tiles"))).first()[0] or 0) // ROWS)
+    full = full.select("dim", "t", "bucket", "tiles")
     dealt = members.join(full, ["dim", "t", "bucket"]).withColumn("tile", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
 
+    block = ["dim", "t", "bucket", "low", "high"]
+
     def linked(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        pdf = pdf.sort_values("c", ignore_index=True)
-        links, root = block_links(pdf, int(r["t"]), int(r["bucket"]), int(r["low"]), int(r["high"]), int(r["dim"]), tables, probes, least)
-        some = np.flatnonzero(links > 0)
-        c = pdf["c"].to_numpy()
-        return pd.DataFrame({"c": c[some], "n": links[some], "root": c[root[some]]})
-
-    found = dealt.groupBy("dim", "t", "bucket", "low", "high").applyInPandas(linked, "c long, n long, root long")
+        out = []
+        for (dim, t, bucket, low, high), one in pdf.groupby(block, sort=False):
+            one = one.sort_values("c", ignore_index=True)
+            links, root = block_links(one, int(t), int(bucket), int(low), int(high), int(dim), tables, probes, least)
+            some = np.flatnonzero(links > 0)
+            if len(some):
+                c = one["c"].to_numpy()
+                out.append(pd.DataFrame({"c": c[some], "n": links[some], "root": c[root[some]]}))
+        return pd.concat(out) if out else pd.DataFrame({"c": [], "n": [], "root": []}, dtype="int64")
+
+    # many small blocks share a call; a call's rows are bounded as a block's are
+    dealt = dealt.withColumn("call", F.pmod(F.xxhash64(*block), F.lit(max(1, calls))))
+    found = dealt.groupBy("call").applyInPandas(linked, "c long, n long, root long")
     found = written(found, "links")
     counts = found.groupBy("c").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("c").alias("a"), F.col("root").alias("b")))
