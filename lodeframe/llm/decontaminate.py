@@ -1,22 +1,27 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions alone.
 
 Numbers, units after a number and names inside a sentence become typed placeholders; the other words are lower-cased
-and freed of punctuation. A template window is WINDOW such words. Every window of the benchmark, and the windows of
-the documents that begin at a multiple of STRIDE, meet in a hash join: a shared run of WINDOW + STRIDE - 1 words
-always holds one. Windows of one document and item that are displaced alike form an alignment; its slots are
-consistent if equal values of the item stand for equal values in the document. A consistent alignment that is long
-enough is a leak, verbatim if the values are the item's own, re-parameterised if they differ.
+and freed of punctuation. A template window is WINDOW such words, a plain window WINDOW words without placeholders. All windows of the benchmark meet those that begin at any word of
+the documents in a hash join: plain windows with plain ones, so that a verbatim copy counts whatever its case, white
+space and share of placeholders, and template windows of LITERALS words or more with template windows. Windows of one
+document and item that are displaced alike form an alignment; its slots are consistent if equal values of the item
+stand for equal values in the document. A consistent alignment that covers enough words is a leak, verbatim if the
+values are the item's own, re-parameterised if they differ.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 8
-STRIDE = 4
-LITERALS = 4  # words of a benchmark window that are no placeholders, at least
-HITS = 2  # windows of an alignment, at least; one is enough for items of less than WINDOW + 2 * STRIDE - 1 words
+LITERALS = 4  # words of a benchmark's template window that are no placeholders, at least; the others match by their values
+COVERED = 12  # words that an alignment covers, at least; a window is enough for items of fewer than SHORT words
+SHORT = 15
+IN_ALL = 24  # words that all alignments of an item cover, at least, where none covers enough
 SMALL = 4_000_000  # benchmark windows that may be broadcast
 
 # Placeholders: characters for private use, which count as words.
@@ -43,17 +48,46 @@ def canonical(text: Column) -> tuple[Column, Column]:
     return template, F.when(marked == plain, template).otherwise(words(F.lower(plain)))
 
 
-def windows(table: DataFrame, stride: int, *keep: str) -> DataFrame:
-    """keep, position, h (hash of the template window), c (its template words), w (its words)."""
-    # a filter on the template's size, or a generator that drops empty arrays, would have Catalyst build the template
-    # and the windows once more for a filter below; so short texts give an empty array, and an outer generator one null
-    starts = F.when(F.size("template") >= WINDOW, F.sequence(F.lit(0), F.size("template") - WINDOW, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
 
-    def one(i: Column) -> Column:
-        c = F.slice("template", i + 1, WINDOW)
-        return F.struct(i.alias("position"), F.xxhash64(c).alias("h"), c.alias("c"), F.slice("words", i + 1, WINDOW).alias("w"))
+def hashes(words: Column, length: int) -> Column:
+    """The hash of every run of so many words, by its first word."""
+    if length < WINDOW:
+        starts = F.when(F.size(words) >= length, F.sequence(F.lit(0), F.size(words) - length)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i + 1, length)))
+    out, reach = F.transform(words, lambda w: F.xxhash64(w)), 1
+    doubled = lambda k: lambda h: F.zip_with(h, F.slice(h, k + 1, F.size(h)), lambda a, b: F.xxhash64(a, b))
+    while reach < WINDOW:  # a power of two
+        out = once(out, doubled(reach))
+        reach *= 2
+    return F.slice(out, 1, F.greatest(F.size(words) - WINDOW + 1, F.lit(0)))
 
-    return table.select(*keep, F.inline_outer(F.transform(starts, one)))
+
+def windows(table: DataFrame, lengths: list[int], *keep: str, whole: bool = False) -> DataFrame:
+    """keep, position, h (hash of the window), w (its words), c (the words that were hashed, with whole alone).
+
+    Template windows, and plain windows where those differ.
+    """
+
+    def of(length: int) -> Column:
+        def rows(of: Column, h: Column) -> Column:
+            one = lambda x, i: F.struct(i.alias("position"), x.alias("h"), F.slice(F.col("words"), i + 1, length).alias("w"), *([F.slice(of, i + 1, length).alias("c")] if whole else []))
+            return F.transform(h, one)
+
+        def both(h: Column) -> Column:
+            plain = once(hashes(F.col("words"), length), lambda p: F.filter(rows(F.col("words"), p), lambda s: s["h"] != h[s["position"]]))
+            first = rows(F.col("template"), h)
+            return F.when(F.col("template") == F.col("words"), first).otherwise(F.concat(first, plain))
+
+        return once(hashes(F.col("template"), length), both)
+
+    # a filter on the template's size, or a generator that drops empty arrays, would have Catalyst build the template
+    # and the windows once more for a filter below; so short texts give an empty array, and an outer generator one null
+    parts = [of(n) for n in lengths]
+    return table.select(*keep, F.inline_outer(F.concat(*parts) if len(parts) > 1 else parts[0]))
 
 
 LEAKS = "doc_id, item_id, kind, n_windows, covered_words, coverage"
@@ -62,35 +96,40 @@ LEAKS = "doc_id, item_id, kind, n_windows, covered_words, coverage"
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and benchmark item that it leaks: LEAKS.
 
-    Null and empty texts, and texts or items of fewer than WINDOW words, share no window and leak nothing. Null keys
-    are kept apart by their text and come out as null; repeated rows give one row; an empty table on either side
-    gives an empty result; other columns are not looked at. Long texts are searched whole.
+    Null and empty texts share no window and leak nothing; items of fewer than WINDOW words are not looked for.
+    Null keys are kept apart by their text and come out as null; repeated rows give one row; an empty
+    table on either side gives an empty result; other columns are not looked at. Long texts are searched whole.
     """
     template, words = canonical(F.col("t"))
     items = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(item_text).alias("t")).select("item_id", template.alias("template"), words.alias("words"))
-    wanted = windows(items.withColumn("item_words", F.size("template")), 1, "item_id", "item_words")
-    wanted = wanted.filter("h is not null").filter(F.size(F.filter("c", lambda x: ~x.isin(NAME, NUMBER, UNIT))) >= LITERALS)
+    items = items.withColumn("item_words", F.size("template")).filter(F.col("words")[0] != "")
+    short: list[int] = []
+    parts = [windows(items.filter(F.col("item_words") == n) if n < WINDOW else items.filter(F.col("item_words") >= n), [n], "item_id", "item_words", whole=True) for n in (*short, WINDOW)]
+    wanted = reduce(DataFrame.unionByName, parts).filter("h is not null")
+    is_slot = lambda x: x.rlike(f"[{NAME}{NUMBER}{UNIT}]")
+    literals = F.size(F.filter("c", lambda x: ~is_slot(x)))
+    wanted = wanted.filter((literals >= LITERALS) | (literals == F.size("c")))
     wanted = wanted.select("item_id", "item_words", F.col("position").alias("item_position"), "h", F.col("c").alias("item_c"), F.col("w").alias("item_w"))
     if benchmark.count() and wanted.count() <= SMALL:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("t")).filter("length(t) > 0")
     texts = texts.select("doc_id", "text_hash", template.alias("template"), words.alias("words"))
-    found = windows(texts, STRIDE, "doc_id", "text_hash").join(wanted, "h")
+    found = windows(texts, [*short, WINDOW], "doc_id", "text_hash").join(wanted, "h")
     # not as a plain equality, from which Catalyst would infer the benchmark's filters for every window
-    found = found.filter(F.coalesce(F.col("c") == F.col("item_c"), F.lit(False)))
-    slot = F.transform(F.arrays_zip("c", "item_w", "w"), lambda s: F.struct(s["c"].alias("kind"), s["item_w"].alias("was"), s["w"].alias("now")))
-    found = found.withColumn("slots", F.filter(slot, lambda s: s["kind"].isin(NAME, NUMBER, UNIT)))
+    slot = F.transform(F.arrays_zip("item_c", "item_w", "w"), lambda s: F.struct(s["item_c"].alias("kind"), s["item_w"].alias("was"), s["w"].alias("now")))
+    found = found.withColumn("slots", slot).filter(F.coalesce(F.forall("slots", lambda s: is_slot(s["kind"]) | (s["kind"] == s["now"])), F.lit(False)))
+    found = found.withColumn("slots", F.filter("slots", lambda s: is_slot(s["kind"])))
     offset = F.col("position") - F.col("item_position")
     aligned = found.groupBy("doc_id", "text_hash", "item_id", "item_words", offset.alias("offset")).agg(F.collect_set("item_position").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     pairs = F.col("slots")
     values = F.array_distinct(F.transform(pairs, lambda s: F.struct(s["kind"], s["was"])))
     changed = F.exists(pairs, lambda s: s["was"] != s["now"])
-    consistent = aligned.filter(F.size(values) == F.size(pairs)).withColumn("changed", changed).withColumn("n", F.size("at"))
-    enough = F.when(F.col("item_words") < WINDOW + 2 * STRIDE - 1, 1).otherwise(HITS)
-    per_item = consistent.groupBy("doc_id", "text_hash", "item_id", "item_words").agg(F.max("n").alias("best"), F.sum("n").alias("total"), F.bool_or("changed").alias("changed"))
-    hit = per_item.filter((F.col("best") >= enough) | (F.col("total") > HITS))
-    covered = F.least(F.col("best") * STRIDE + (WINDOW - STRIDE), F.col("item_words"))
-    hit = hit.groupBy("doc_id", "text_hash", "item_id").agg(F.bool_and("changed").alias("changed"), F.max("best").alias("n_windows"), F.max(covered).alias("covered_words"), F.max("item_words").alias("item_words"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.least(F.lit(WINDOW), F.col("item_words")) - 1)))))
+    consistent = aligned.filter(F.size(values) == F.size(pairs)).withColumn("changed", changed).withColumn("n", F.size("at")).withColumn("covered", covered)
+    enough = F.when(F.col("item_words") < SHORT, F.least(F.lit(WINDOW), F.col("item_words"))).otherwise(COVERED)
+    per_item = consistent.groupBy("doc_id", "text_hash", "item_id", "item_words").agg(F.max("n").alias("best"), F.max("covered").alias("covered"), F.sum("covered").alias("total"), F.bool_or("changed").alias("changed"))
+    hit = per_item.filter((F.col("covered") >= enough) | (F.col("total") >= IN_ALL))
+    hit = hit.groupBy("doc_id", "text_hash", "item_id").agg(F.bool_and("changed").alias("changed"), F.max("best").alias("n_windows"), F.max("covered").alias("covered_words"), F.max("item_words").alias("item_words"))
     return hit.groupBy("doc_id", "item_id").agg(
         F.when(F.bool_and("changed"), F.lit("re-parameterised")).otherwise(F.lit("verbatim")).alias("kind"), F.max("n_windows").cast("long").alias("n_windows"), F.max("covered_words").cast("long").alias("covered_words"), F.round(F.max(F.col("covered_words") / F.col("item_words")), 4).alias("coverage")
     )

@@ -66,3 +66,18 @@ def test_against_brute_force(spark, sf):
             none.add(r.doc_id)
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents, benchmark).collect()}
     assert want and want <= got and not {d for d, _ in got} & none
+
+
+def planted(spark, items, forms=(str,)):
+    """Of each item, the places (form, words before it) where a copy is found."""
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    places = [(i, f, n) for i in range(len(items)) for f in range(len(forms)) for n in range(4)]
+    rows = [(k, "word " * n + "before it " + forms[f](items[i]) + " then more words come") for k, (i, f, n) in enumerate(places)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert all(places[d][0] == i for d, i in got)
+    return {i: {(f, n) for k, (j, f, n) in enumerate(places) if i == j and (k, i) in got} for i in range(len(items))}
+
+
+def test_items_full_of_numbers(spark):
+    items = ["Compute 12 + 35 - 7 * 4 / 2 + 19 - 3 * 8 + 6 / 5 - 11 + 40 * 2 as 7 digits", "A box of 3 kg costs 12 dollars, 5 kg costs 18 dollars, 9 kg costs 30 dollars, so what do 14 kg cost?"]
+    assert all(len(found) == 4 for found in planted(spark, items).values())
