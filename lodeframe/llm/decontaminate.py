@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions alone.
 
 Numbers, units after a number and names inside a sentence become typed placeholders; the other words are lower-cased
-and freed of punctuation. A template window is WINDOW such words, a plain window WINDOW words without placeholders. All windows of the benchmark meet those that begin at any word of
+and freed of punctuation. A template window is WINDOW such words, a plain window WINDOW words without placeholders;
+an item of fewer words is one window as a whole. All windows of the benchmark meet those that begin at any word of
 the documents in a hash join: plain windows with plain ones, so that a verbatim copy counts whatever its case, white
 space and share of placeholders, and template windows of LITERALS words or more with template windows. Windows of one
 document and item that are displaced alike form an alignment; its slots are consistent if equal values of the item
@@ -96,14 +97,14 @@ LEAKS = "doc_id, item_id, kind, n_windows, covered_words, coverage"
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and benchmark item that it leaks: LEAKS.
 
-    Null and empty texts share no window and leak nothing; items of fewer than WINDOW words are not looked for.
-    Null keys are kept apart by their text and come out as null; repeated rows give one row; an empty
+    Null and empty texts share no window and leak nothing; an item of fewer than WINDOW words is leaked as a whole
+    or not at all. Null keys are kept apart by their text and come out as null; repeated rows give one row; an empty
     table on either side gives an empty result; other columns are not looked at. Long texts are searched whole.
     """
     template, words = canonical(F.col("t"))
     items = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(item_text).alias("t")).select("item_id", template.alias("template"), words.alias("words"))
     items = items.withColumn("item_words", F.size("template")).filter(F.col("words")[0] != "")
-    short: list[int] = []
+    short = sorted(r.item_words for r in items.filter(F.col("item_words") < WINDOW).select("item_words").distinct().collect())
     parts = [windows(items.filter(F.col("item_words") == n) if n < WINDOW else items.filter(F.col("item_words") >= n), [n], "item_id", "item_words", whole=True) for n in (*short, WINDOW)]
     wanted = reduce(DataFrame.unionByName, parts).filter("h is not null")
     is_slot = lambda x: x.rlike(f"[{NAME}{NUMBER}{UNIT}]")

@@ -81,3 +81,8 @@ def planted(spark, items, forms=(str,)):
 def test_items_full_of_numbers(spark):
     items = ["Compute 12 + 35 - 7 * 4 / 2 + 19 - 3 * 8 + 6 / 5 - 11 + 40 * 2 as 7 digits", "A box of 3 kg costs 12 dollars, 5 kg costs 18 dollars, 9 kg costs 30 dollars, so what do 14 kg cost?"]
     assert all(len(found) == 4 for found in planted(spark, items).values())
+
+
+def test_short_items(spark):
+    items = ["Alpha beta gamma delta epsilon zeta eta theta", "Why do red cats like to sit near warm stoves", "One two red four big six old eight new", "what is seven times nine", "add 12 and 30"]
+    assert all(len(found) == 4 for found in planted(spark, items).values())
