@@ -38,12 +38,13 @@ UNITS = (
 
 def canonical(text: Column) -> tuple[Column, Column]:
     """(template words, the words themselves): arrays of equal length."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), "[\ue000-\ue002]", " ")
+    units = rf"(?i:{'|'.join(UNITS)})\b"
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), "[\ue000-\ue002\\s\\p{Z}]+", " ")
     plain = F.regexp_replace(plain, r"(?<=\d)[.,](?=\d)", "")
-    plain = F.regexp_replace(plain, rf"(?<=\d)(?=(?:{'|'.join(UNITS)})\b)", " ")
+    plain = F.regexp_replace(plain, rf"(?<=\d)(?={units})", " ")
     marked = F.regexp_replace(plain, r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+", NAME)
     marked = F.regexp_replace(marked, r"(?<![\p{L}\p{N}])\p{Nd}+(?![\p{L}\p{N}])", NUMBER)
-    marked = F.regexp_replace(marked, rf"(?<={NUMBER} )(?:{'|'.join(UNITS)})\b", UNIT)
+    marked = F.regexp_replace(marked, rf"(?<={NUMBER} ){units}", UNIT)
     words = lambda c: F.split(F.trim(F.regexp_replace(c, "[^\\p{L}\\p{N}\ue000-\ue002]+", " ")), " ")
     template = words(F.lower(marked))
     return template, F.when(marked == plain, template).otherwise(words(F.lower(plain)))

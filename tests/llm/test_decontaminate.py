@@ -86,3 +86,12 @@ def test_items_full_of_numbers(spark):
 def test_short_items(spark):
     items = ["Alpha beta gamma delta epsilon zeta eta theta", "Why do red cats like to sit near warm stoves", "One two red four big six old eight new", "what is seven times nine", "add 12 and 30"]
     assert all(len(found) == 4 for found in planted(spark, items).values())
+
+
+def test_case_and_white_space(spark):
+    forms = (str, str.upper, str.lower, str.title, lambda x: x.replace(" ", "\n"), lambda x: " ".join(w + "!!" for w in x.split()))
+    items = [ITEM, "Anna has bought 12 red apples and London sells them to Paul for 9 pounds each day"]
+    assert all(len(found) == 4 * len(forms) for found in planted(spark, items, forms).values())
+    benchmark = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    df = spark.createDataFrame([(d, t, None, None, 1) for d, t, _ in docs() if d in (5, 6)], SCHEMA)
+    assert {(r.doc_id, r.kind) for r in decontaminate.leaks(df, benchmark).collect()} == {(5, "verbatim"), (6, "verbatim")}
