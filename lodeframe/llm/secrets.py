@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from lodeframe.llm.columns import column, raw_texts, rows
 
 RUN = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
-ASSIGNED = re.compile(rb"(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)[A-Za-z0-9_]{0,20}[\"']?\s{0,3}[:=]{1,2}\s{0,3}[\"']?([^\s\"'<>,;]{6,200})", re.IGNORECASE)
+ASSIGNED = re.compile(rb"(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)[A-Za-z0-9_]{0,20}[\"']?\s{0,3}[:=]{1,2}\s{0,3}[\"']?([^\s\"'<>,;]{6,})", re.IGNORECASE)
 BESIDE = 48  # bytes of context on either side
+LONG = 200  # bytes; a longer value scores as its beginning does if that is more, as the labelled findings hold no longer ones
 
 # Words beside a candidate that speak for a secret, and such that speak against one.
 FOR = ("secret", "token", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "private", "credential", "auth", "bearer")
@@ -197,12 +198,19 @@ def candidates(raw: bytes) -> list[tuple[int, int, str]]:
 
 def scan(texts: list[bytes], paths: list[str], forest: Forest) -> list[list[tuple[int, int, str, float]]]:
     """(first byte, end, rule, score) of each text's candidates."""
-    places, x = [candidates(t) for t in texts], []
+    places, x, of = [candidates(t) for t in texts], [], []
+    n = 0
     for t, path, found in zip(texts, paths, places, strict=True):
         for a, b, _ in found:
-            beside = t[max(0, a - BESIDE) : a].decode("utf-8", "replace"), t[b : b + BESIDE].decode("utf-8", "replace")
-            x.append(features(t[a:b].decode("utf-8", "replace"), *beside, path))
-    scores = iter(forest.scores(np.array(x)).tolist() if x else [])
+            for end in (b, a + LONG) if b - a > LONG else (b,):
+                beside = t[max(0, a - BESIDE) : a].decode("utf-8", "replace"), t[end : end + BESIDE].decode("utf-8", "replace")
+                x.append(features(t[a:end].decode("utf-8", "replace"), *beside, path))
+                of.append(n)
+            n += 1
+    best = np.zeros(n)
+    if x:
+        np.maximum.at(best, of, forest.scores(np.array(x)))
+    scores = iter(best.tolist())
     return [[(*p, next(scores)) for p in found] for found in places]
 
 

@@ -51,3 +51,14 @@ def test_scan_and_redact(spark):
             assert "[SECRET]" in r.text and KEY not in r.text and r.n_chars == len(r.text)
     empty = spark.createDataFrame([], SCHEMA)
     assert secrets.scan_secrets(empty, forest).count() == 0 and secrets.redacted(empty, forest).count() == 0
+
+
+def test_long_values(spark):
+    rng = np.random.default_rng(4)
+    some = lambda n: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"), n))
+    values = [f"eyJhbGciOiJSUzI1NiJ9.{some(380)}.{some(340)}", rng.bytes(256).hex(), rng.bytes(800).hex()]
+    df = spark.createDataFrame([(k, f'some words before token = "{v}" and after', "src/app.py", 1, None) for k, v in enumerate(values)], SCHEMA)
+    forest = secrets.trained()
+    got = {r.doc_id: r for r in secrets.scan_secrets(df, forest).collect()}
+    assert [(got[k].length, got[k].digest, got[k].is_secret) for k in range(3)] == [(len(v), hashlib.sha256(v.encode()).hexdigest(), True) for v in values]
+    assert {r.text for r in secrets.redacted(df, forest).collect()} == {'some words before token = "[SECRET]" and after'}
