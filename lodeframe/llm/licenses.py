@@ -154,11 +154,11 @@ def scan(raw: bytes, allowed=frozenset(PERMISSIVE)) -> tuple:
     if not n:
         return 0, 0, None, None, set(), set(), 0.0, [], None
     text = b" " + b" ".join(words) + b" "
-    places, counted, at = [], 0, 0
+    places = []
+    blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 0x20)
     for end, phrase in automaton().iter(text.decode("latin-1")):
         start = end - len(phrase) - 1  # of the blank before the phrase
-        counted, at = counted + text.count(b" ", at, start), start
-        places.append((counted, phrase))
+        places.append((int(np.searchsorted(blanks, start)), phrase))
     places.sort()
     base = [k for k, phrase in places if phrase in BASE]
     base_labels = {BASE[phrase] for _, phrase in places if phrase in BASE}

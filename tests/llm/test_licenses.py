@@ -62,3 +62,13 @@ def test_query(spark, sf):
     assert tagged.labels == "gpl,mit,zlib" and tagged.usable and 0.9 < tagged.score <= 1
     assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
     assert licenses.scan_licenses(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["released under the mit license", "licensed under the apache license version 2 0", "gnu lesser general public license", "cc by nc sa", "mit license", "apache", "x1", "é"]), max_size=12))
+def test_places_of_notices(parts):
+    words = " ".join(parts).split()
+    phrases = {*licenses.BASE, *licenses.NOTICES}
+    want = sorted((k, p) for p in phrases for k in range(len(words)) if words[k : k + len(p.split())] == p.split())
+    assert licenses.scan(" ".join(parts).encode())[7] == want
+    assert licenses.scan(" ".join(parts).encode())[:4] == brute(" ".join(parts))[:4]
