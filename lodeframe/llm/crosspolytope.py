@@ -1,10 +1,11 @@
 """Near duplicates among embeddings: cross-polytope hashing after fast Hadamard rotations, multiprobe, verified pairs.
 
 A vector is rotated by three rounds of random signs and a Hadamard transform; its bucket is the axis, with sign,
-that it then lies nearest to. A table joins as many such codes as the number of vectors asks for. A vector lies in
-its own bucket of every table and probes the next best ones. Pairs that meet are verified by their cosine in double
-precision, and counted in the first bucket where they meet. Equal vectors are one class with a weight, and a bucket
-emits counts and a spanning forest, so that groups of copies cost no more rows than they have members.
+that it then lies nearest to. A table joins as many such codes as the number of vectors asks for, and there are more
+tables the more codes are joined, so that recall does not fall with the number of vectors. A vector lies in its own
+bucket of every table and probes the next best ones. Pairs that meet are verified by their cosine in double precision,
+and counted in the first bucket where they meet. Equal vectors are one class with a weight, and a bucket emits counts
+and a spanning forest, so that groups of copies cost no more rows than they have members.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from lodeframe.llm.columns import column, rows
 from lodeframe.llm.graph import components
 from lodeframe.llm.scratch import written
 
-TABLES = 6
+TABLES = 6  # at least
 PROBES = 2
+MISSED = 0.0005  # pairs of the least cosine that meet in no table, at most; TABLES grows with the codes that are joined
 IN_BUCKET = 256  # vectors that a bucket shall hold on average, at most
 TILE = 1024  # members of a bucket that one task compares with as many others
 ROWS = 1 << 14  # of blocks that one call of the comparison gets, about
@@ -79,6 +81,20 @@ def _met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :1] == b).any(1) | (b[:, :1] == a).any(1)
 
 
+@lru_cache(64)
+def tables_for(dim: int, joined: int, tables: int, probes: int, least: float, pairs: int = 1000) -> int:
+    """How many tables miss at most MISSED of the pairs of cosine `least`, by the share of random ones that meet in a table."""
+    if dim < 2 or not -1 < least < 1:
+        return tables
+    a, b = np.random.default_rng([13, dim]).normal(size=(2, pairs, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = least * a + math.sqrt(1 - least**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = codes(a, tables, joined, probes), codes(b, tables, joined, probes)
+    met = np.mean([_met(x[:, t], y[:, t]).mean() for t in range(tables)])
+    return max(tables, math.ceil(math.log(MISSED) / math.log(1 - min(max(met, 1 / pairs), 1 - MISSED))))
+
+
 def _forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """The smallest member of each member's component."""
     label = np.arange(n)
@@ -151,17 +167,18 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
     sizes = {r.n // 8: r.m for r in classes.groupBy(F.octet_length("v").alias("n")).agg(F.count("*").alias("m")).collect()}
     # buckets of a table: (2 * size) ** joined, for vectors of `size` axes
     joined = {d: max(1, math.ceil(math.log(max(2, m / IN_BUCKET)) / math.log(2 << max(1, (d - 1).bit_length())))) for d, m in sizes.items()}
+    of = {d: tables_for(d, k, tables, probes, least) for d, k in joined.items()}
 
     def hashed(batches):
         for batch in batches:
             raw = column(batch, "v").to_pylist()
             for d in {len(r) // 8 for r in raw}:
                 at = [k for k, r in enumerate(raw) if len(r) == 8 * d]
-                code = codes(np.frombuffer(b"".join(raw[k] for k in at), np.float64).reshape(-1, d), tables, joined[d], probes)
-                of, t, p = np.nonzero(code >= 0)
+                code = codes(np.frombuffer(b"".join(raw[k] for k in at), np.float64).reshape(-1, d), of[d], joined[d], probes)
+                k, t, p = np.nonzero(code >= 0)
                 yield rows(
-                    c=column(batch, "c").take(pa.array(np.array(at)[of])), w=column(batch, "w").take(pa.array(np.array(at)[of])), dim=pa.array(np.full(len(of), d), pa.int32()), t=pa.array(t, pa.int32()),
-                    bucket=code[of, t, p], v=pa.array([raw[at[k]] for k in of], pa.binary()), codes=pa.array([code[k].tobytes() for k in of], pa.binary()),
+                    c=column(batch, "c").take(pa.array(np.array(at)[k])), w=column(batch, "w").take(pa.array(np.array(at)[k])), dim=pa.array(np.full(len(k), d), pa.int32()), t=pa.array(t, pa.int32()),
+                    bucket=code[k, t, p], v=pa.array([raw[at[i]] for i in k], pa.binary()), codes=pa.array([code[i].tobytes() for i in k], pa.binary()),
                 )
 
     schema = "c long, w long, dim int, t int, bucket long, v binary, codes binary"
@@ -179,7 +196,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
         out = []
         for (dim, t, bucket, low, high), one in pdf.groupby(block, sort=False):
             one = one.sort_values("c", ignore_index=True)
-            links, root = block_links(one, int(t), int(bucket), int(low), int(high), int(dim), tables, probes, least)
+            links, root = block_links(one, int(t), int(bucket), int(low), int(high), int(dim), of[int(dim)], probes, least)
             some = np.flatnonzero(links > 0)
             if len(some):
                 c = one["c"].to_numpy()

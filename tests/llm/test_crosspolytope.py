@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from lodeframe.llm import crosspolytope, graph
 
@@ -67,3 +68,17 @@ def test_recall(spark):
     want = ((m @ m.T) >= 0.9).sum(1) - 1
     found = np.array([got[k].n_links for k in ids])
     assert (found <= want).all() and found.sum() >= 0.9 * want.sum()
+
+
+@pytest.mark.parametrize(("in_bucket", "joined"), [(1, 2), (0.1, 3)])
+def test_recall_of_joined_codes(spark, monkeypatch, in_bucket, joined):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(2, 1000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.901 * a + np.sqrt(1 - 0.901**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    assert 128 ** (joined - 1) < 2000 / in_bucket <= 128**joined
+    monkeypatch.setattr(crosspolytope, "IN_BUCKET", in_bucket)
+    df = spark.createDataFrame([(k, v) for k, v in enumerate([*a.tolist(), *b.tolist()])], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in crosspolytope.near_duplicates(df).collect()}
+    assert np.mean([got[k] == got[1000 + k] for k in range(1000)]) >= 0.995
