@@ -3,12 +3,13 @@
 The splitting rule is that of the library's byte-level pre-tokenizer: contractions, runs of letters, of
 numbers, of other signs (each with one leading space), and white space. It is computed over byte classes for
 texts whose characters lie below U+10000 and whose white space is ASCII; any other text, and a text holding a
-special string, goes to the library as a whole. A pre-token's 64-bit fingerprint finds its ids in a bounded
-cache of the worker; the library encodes what the cache lacks.
+special string, goes to the library as a whole. A pre-token's 64-bit fingerprint, under a random key of the worker,
+finds its ids in a bounded cache; the library encodes what the cache lacks.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import unicodedata
 from functools import lru_cache
@@ -96,31 +97,8 @@ def token_starts(buf: np.ndarray, cls: np.ndarray, heads: np.ndarray) -> np.ndar
     return starts
 
 
-class Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, grown on demand."""
-
-    BASE = 0x9E3779B97F4A7C15
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, PIECE + 1)
-            inverse = pow(self.BASE, -1, 1 << 64)
-            self.up, self.down = (self._powers(x, size) for x in (self.BASE, inverse))
-        return self.up, self.down
-
-
-    @staticmethod
-    def _powers(base: int, size: int) -> np.ndarray:
-        out = np.full(size, base, np.uint64)
-        out[0] = 1
-        return np.cumprod(out, dtype=np.uint64)
-
-
-POWERS = Powers()
-BYTE_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+LONG_SPAN = 256  # bytes; longer spans are hashed by the standard library
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -131,14 +109,31 @@ def mixed(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of spans of bytes; equal bytes have equal ones wherever they stand."""
-    up, down = POWERS(len(buf) + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(BYTE_CODES[buf] * up[: len(buf)], out=total[1:])
-        h = (total[end] - total[start]) * down[start]
-        h = mixed(h + (end - start).astype(np.uint64))
+def fresh_key() -> int:
+    """A random key for span_hashes, so that nobody can write texts whose fingerprints collide."""
+    return int.from_bytes(os.urandom(8), "little")
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = 0) -> np.ndarray:
+    """Keyed 64-bit fingerprints of spans of bytes, never 0; equal bytes have equal ones wherever they stand.
+
+    A span's length and its words of eight bytes are mixed in one after another, each by a bijection of the whole
+    state, so that no difference of texts cancels without knowledge of the key.
+    """
+    n = end - start
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    lanes = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+    h = mixed(n.astype(np.uint64) ^ np.uint64(key))
+    h = mixed(h ^ (lanes[start] & MASKS[np.minimum(n, 8)]))
+    at, left = 8, np.flatnonzero((n > 8) & (n <= LONG_SPAN))
+    while len(left):
+        h[left] = mixed(h[left] ^ (lanes[start[left] + at] & MASKS[np.minimum(n[left] - at, 8)]))
+        at += 8
+        left = left[n[left] > at]
+    for k in np.flatnonzero(n > LONG_SPAN).tolist():
+        digest = hashlib.blake2b(buf[start[k] : end[k]].tobytes(), digest_size=8, key=key.to_bytes(8, "little")).digest()
+        h[k] ^= np.frombuffer(digest, "<u8")[0]
     return np.where(h == 0, np.uint64(1), h)
 
 
@@ -184,7 +179,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.slots, self.room = slots, room
+        self.slots, self.room, self.key = slots, room, fresh_key()
         self.keys = np.zeros(slots, np.uint64)
         self.place = np.zeros(slots, np.uint32)
         self.size = np.zeros(slots, np.uint32)
@@ -216,7 +211,7 @@ class Encoder:
         """(place in the pool, count of ids) of each pre-token."""
         if self.used > self.room:
             self.keys[:], self.used = 0, 0
-        h = span_hashes(buf, start, end)
+        h = span_hashes(buf, start, end, self.key)
         slot = self._slot(h)
         place, size = self.place[slot], self.size[slot]
         missing = np.flatnonzero(self.keys[slot] != h)

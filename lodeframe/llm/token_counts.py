@@ -1,8 +1,8 @@
 """Token counts of whole texts by a two-tier map-side look-up.
 
-Tier one is a compact hash table, broadcast: fingerprints of frequent pre-tokens and their lengths in ids. It is
-made from a bounded summary that every task gives of all its texts (its SUMMARY most frequent pre-tokens), so
-no pre-token is shuffled. Tier two is the worker's cache, which the tokenizers library fills. The table's size is
+Tier one is a compact hash table, broadcast: fingerprints of frequent pre-tokens and their lengths in ids, under a
+random key of the run. It is made from a bounded summary that every task gives of all its texts: fingerprints and
+counts of its SUMMARY most frequent pre-tokens are added up by a shuffle; the pre-tokens themselves are not. Tier two is the worker's cache, which the tokenizers library fills. The table's size is
 bounded by TABLE entries of nine bytes; what it holds changes the speed and never a count.
 """
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.bytebpe import encoder, span_hashes
+from lodeframe.llm.bytebpe import encoder, fresh_key, span_hashes
 from lodeframe.llm.columns import column, raw_texts, rows
 
 SUMMARY = 4096
@@ -30,8 +30,11 @@ def _merged(keys: np.ndarray, counts: np.ndarray, sizes: np.ndarray, most: int)
     return new[best], total[best], sizes[first][best]
 
 
-def frequent_lengths(texts: DataFrame, text: str, path: str, size: int = TABLE, summary: int = SUMMARY) -> tuple[np.ndarray, np.ndarray]:
-    """(ascending fingerprints, lengths in ids) of the most frequent pre-tokens of all texts; at most `size` of them."""
+def frequent_lengths(texts: DataFrame, text: str, path: str, key: int, size: int = TABLE, summary: int = SUMMARY) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending fingerprints, lengths in ids) of the most frequent pre-tokens of all texts; at most `size` of them.
+
+    key: of the fingerprints.
+    """
 
     def summaries(batches):
         enc = encoder(path)
@@ -40,7 +43,7 @@ def frequent_lengths(texts: DataFrame, text: str, path: str, size: int = TABLE,
             for _, buf, start, end, _ in enc.spans(raw_texts(column(batch, "t"))):
                 if buf is None:
                     continue
-                h, first, n = np.unique(span_hashes(buf, start, end), return_index=True, return_counts=True)
+                h, first, n = np.unique(span_hashes(buf, start, end, key), return_index=True, return_counts=True)
                 often = n >= OFTEN
                 known = enc._look_up(buf, start[first[often]], end[first[often]])[1]
                 keys, counts, sizes = np.append(keys, h[often]), np.append(counts, n[often]), np.append(sizes, known)
@@ -104,7 +107,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, key: str = "doc_i
     Null and empty texts have 0 bytes and 0 tokens. A null key stays null, repeated rows stay repeated, other
     columns are not looked at, and an empty table gives an empty result. Texts of any length are counted whole.
     """
-    keys, lengths = frequent_lengths(docs, text, path)
+    hash_key = fresh_key()
+    keys, lengths = frequent_lengths(docs, text, path, hash_key)
     shared = docs.sparkSession.sparkContext.broadcast((keys.tobytes(), lengths.tobytes()))
 
     def counted(batches):
@@ -117,7 +121,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, key: str = "doc_i
                     for k in owner.tolist():
                         n[k] = len(enc._whole(texts[k]))
                     continue
-                size = table(span_hashes(buf, start, end))
+                size = table(span_hashes(buf, start, end, hash_key))
                 miss = np.flatnonzero(size == 0)
                 size[miss] = enc._look_up(buf, start[miss], end[miss])[1]
                 np.add.at(n, owner, np.bincount(of, size, len(owner)).astype(np.int64))

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lodeframe.llm import packing, token_counts
-from lodeframe.llm.bytebpe import Encoder
+from lodeframe.llm.bytebpe import Encoder, span_hashes
 from lodeframe.llm.queries import tokenizer_path
 
 ODD = ["", " ", "it's  a 'sound' we'll y'all've ''s '", "tr  ", "\n\n a", "a\n\nb \n c", "x<|endoftext|>y", "日本語 テスト 123", "😀 ok", "a b", "1½²³ a_b", "“q” — …", "ab\x1cc", "DON'T 's's't", "é'd 12'34 's5", "\r\n\r\n  x", "a" * 3000, "word " * 70000]
@@ -108,3 +108,26 @@ def test_pack(spark, sf, library):
     assert full / (1024 * len(sequences)) > 0.9
     assert packing.pack(spark.createDataFrame([], SCHEMA), tokenizer_path()).count() == 0
     assert token_counts.count_tokens(spark.createDataFrame([], SCHEMA), tokenizer_path()).count() == 0
+
+
+def test_words_that_collide_modulo_a_power_of_two(spark, library):
+    bits = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    words = [bits, bits.translate(str.maketrans("ab", "ba")), bits[:40], bits[:40].translate(str.maketrans("ab", "ba"))]
+    fresh = Encoder(tokenizer_path())
+    want = [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert [x.tolist() for x in fresh.encode([w.encode() for w in words])] == want
+    rows = [(k, f"{w} " * 9) for k, w in enumerate(words)]
+    got = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), tokenizer_path()).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {k: len(library.encode(t, add_special_tokens=False).ids) for k, t in rows}
+
+
+def test_fingerprints():
+    raw = b"".join(bytes([k % 251]) * (k % 23) for k in range(600)) * 3
+    buf = np.frombuffer(raw, np.uint8)
+    rng = np.random.default_rng(4)
+    start = rng.integers(0, len(buf) - 900, 3000)
+    end = start + rng.integers(0, 900, 3000)
+    got = span_hashes(buf, start, end, 77)
+    spans = [raw[a:b] for a, b in zip(start.tolist(), end.tolist())]
+    assert len(set(got.tolist())) == len(set(spans)) == len(set(zip(got.tolist(), spans)))
+    assert (got != span_hashes(buf, start, end, 78)).all() and got.all()
