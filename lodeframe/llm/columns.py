@@ -19,3 +19,11 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def rows(**named) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in named.values()], names=list(named))
+
+
+def unused(df, name: str) -> str:
+    """A name like `name` that no column of df has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.llm.scratch import dropped, written
 
 
+def labelled(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest member of each one's component among 0 to n - 1, for links u[i], v[i] that one task holds."""
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, u, label[v])
+        np.minimum.at(low, v, label[u])
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (a, b) with a > b. Large: each node's larger neighbours go to its smallest one; small: its smaller neighbours and itself do."""
     if large:

@@ -1,20 +1,24 @@
 """Jaccard self-join of documents' word shingles, with an R-tree over count vectors.
 
-A document is the set of its distinct `width`-word shingles, as 64-bit hashes; documents with equal sets are one
-node from the start. The join runs in four passes, none of which holds more than a block in a task:
+A document is the set of its distinct `width`-word shingles, as 64-bit hashes under a random key of the run;
+documents with equal sets are one node from the start. The join runs in passes, none of which holds more than a
+bounded block in a task:
 
-1. Every task counts its shingles into a sketch of fixed size. Shingles are then ordered by how full their counter
-   is, rarest first, and by hash: any common order is right, and this one keeps shared passages at the end.
+1. Every set becomes a point: its elements are hashed into groups, about one for every four, and counted, a byte for
+   each group. Every task also counts its shingles into a sketch of fixed size. Shingles are then ordered by how full
+   their counter is, rarest first, and by hash: any common order is right, and this one keeps shared passages at the end.
 2. A document deals the start of its ordered set to partitions: two sets that overlap enough share an element of
    those prefixes (for the smaller set a seventh of it, for the larger one a quarter, at 0.75). A partition finds
    the keys that several sets hold and names each such group by its smallest member, its leader. A key whose
    members all share the key before it, too, adds nothing and is left out.
-3. Within a leader's block, sets are points: their elements hashed into groups, and counted. An R-tree over the
-   points bounds a set's overlap with all sets of a node by the sum of the smaller of its counts and the node's
-   largest ones. Only sets that have a partner by this bound stay. Their elements are fetched then, and pairs that
-   survive the bound are verified, unless they are connected already; a block returns a spanning forest of links.
-4. Components are formed from all blocks' forests. A block too large for a task is dealt into tiles, each with the
-   leader; where its members don't all come out connected, every pair of tiles is joined in a second round.
+3. Within a leader's block, an R-tree over the points bounds a set's overlap with all sets of a node by the sum of the
+   smaller of its counts and the node's largest ones. Sets that the bound leaves together are a candidate group, named
+   by its smallest member, so that equal candidates of many blocks fall into one. Only then the elements of these sets
+   are fetched, and pairs that survive the bound are verified unless they are connected already; a group returns a
+   spanning forest of links.
+4. Components are formed from all forests. A block too large for a task is dealt into tiles, each with the leader;
+   where its members don't all come out connected, the pairs of tiles are compared in a second round, again by points
+   first and by elements for what is left.
 """
 
 from __future__ import annotations
@@ -28,10 +32,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm.bytebpe import mixed, span_hashes
-from lodeframe.llm.columns import column, raw_texts, rows
-from lodeframe.llm.graph import components
-from lodeframe.llm.scratch import partitions, written
+from lodeframe.llm.bytebpe import fresh_key, mixed, span_hashes
+from lodeframe.llm.columns import column, raw_texts, rows, unused
+from lodeframe.llm.graph import components, labelled
+from lodeframe.llm.scratch import dropped, partitions, written
 
 WIDTH = 5
 LEAST = 75  # hundredths
@@ -39,8 +43,14 @@ COUNTERS = 1 << 20  # of the sketch
 CHUNK = 1 << 14  # counters of a row that a task writes
 TILE = 1 << 21  # shingles of a block that one task holds
 TILE_SETS = 256  # sets of a block that one task holds
-MOST_DIMS = 4096  # of a count vector
+GROUP = 4  # elements of a set for each group of its point, at most
+LEAST_DIMS = 16
 LEAF = 16  # entries of an R-tree's node
+CALL = 1 << 22  # bytes of small blocks that share a call, about
+PART = 1 << 26  # bytes of prefix entries that a call holds, about
+ENTRY = 24  # bytes of a prefix entry, at most
+MARKED = 1 << 24  # sets that a bitmap tells from others; beyond that their documents are joined by key
+BROADCAST = 1 << 18  # rows of two numbers that may be broadcast
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -48,19 +58,19 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def shingles(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
+def shingles(texts: list[bytes], width: int = WIDTH, hash_key: int = 0) -> list[np.ndarray]:
     """Ascending distinct hashes of each text's shingles; of its words as one sequence, if there are fewer than width."""
     out, batch, size = [], [], 0
     for k, t in enumerate(texts):
         batch.append(t)
         size += len(t) + 1
         if size >= 1 << 18 or k == len(texts) - 1:
-            out += _shingles(batch, width)
+            out += _shingles(batch, width, hash_key)
             batch, size = [], 0
     return out
 
 
-def _shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
+def _shingles(texts: list[bytes], width: int, hash_key: int) -> list[np.ndarray]:
     buf = _LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
     blank = _BLANK[buf]
     word = ~blank
@@ -68,7 +78,7 @@ def _shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
     if len(word) and word[0]:
         edge = np.append(0, edge)
     start, end = edge[::2], edge[1::2]
-    h = span_hashes(buf, start, end)
+    h = span_hashes(buf, start, end, hash_key)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     cuts = np.append(0, np.searchsorted(start, ends))
     with np.errstate(over="ignore"):
@@ -101,39 +111,42 @@ def overlap_needed(a, b, least: int):
 # -- pass 1: sizes, fingerprints and the sketch --------------------------------------------------------------------
 
 
-def _first_pass(docs: DataFrame, key: str, text: str, width: int, counters: int) -> DataFrame:
-    """Rows of kind 0: doc_id, text_hash, n, set; rows of kind 1: chunk number as n and its counters."""
+def _first_pass(docs: DataFrame, key: str, text: str, width: int, counters: int, hash_key: int) -> DataFrame:
+    """Rows of kind 0: doc_id, text_hash, n, set; x: its point, in a task's first row of the set, if n > 2; rows of
+    kind 1: chunk number as n and its counters as x."""
 
     def read(batches):
         counts, seen = np.zeros(counters, np.int64), set()
         for batch in batches:
-            sets = shingles(raw_texts(column(batch, "t")), width)
-            prints, fresh = [fingerprint(s) for s in sets], []
-            for s, p in zip(sets, prints, strict=True):
+            sets = shingles(raw_texts(column(batch, "t")), width, hash_key)
+            prints, points, fresh = [fingerprint(s) for s in sets], [None] * len(sets), []
+            for k, (s, p) in enumerate(zip(sets, prints, strict=True)):
                 if p not in seen:
                     seen.add(p)
                     fresh.append(s)
+                    if len(s) > 2:
+                        points[k] = point(s)
             if fresh:
                 counts += np.bincount((np.concatenate(fresh) >> np.uint64(20)).astype(np.int64) & (counters - 1), minlength=counters)
             n = len(sets)
-            yield rows(kind=pa.array(np.zeros(n, np.int32)), doc_id=column(batch, "d").cast(pa.int64()), text_hash=column(batch, "h").cast(pa.int64()), n=pa.array([len(s) for s in sets], pa.int64()), fp=pa.array(prints, pa.int64()), counts=pa.nulls(n, pa.binary()))
+            yield rows(kind=pa.array(np.zeros(n, np.int32)), doc_id=column(batch, "d").cast(pa.int64()), text_hash=column(batch, "h").cast(pa.int64()), n=pa.array([len(s) for s in sets], pa.int64()), fp=pa.array(prints, pa.int64()), x=pa.array(points, pa.binary()))
         chunks = counts.reshape(-1, CHUNK) if counters >= CHUNK else counts[None]
         some = np.flatnonzero(chunks.any(1))
         none = pa.nulls(len(some), pa.int64())
-        yield rows(kind=pa.array(np.ones(len(some), np.int32)), doc_id=none, text_hash=none, n=pa.array(some, pa.int64()), fp=none, counts=pa.array([np.minimum(chunks[k], 65535).astype(np.uint16).tobytes() for k in some], pa.binary()))
+        yield rows(kind=pa.array(np.ones(len(some), np.int32)), doc_id=none, text_hash=none, n=pa.array(some, pa.int64()), fp=none, x=pa.array([np.minimum(chunks[k], 65535).astype(np.uint16).tobytes() for k in some], pa.binary()))
 
     picked = docs.select(F.col(key).cast("long").alias("d"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t"))
-    return picked.mapInArrow(read, "kind int, doc_id long, text_hash long, n long, fp long, counts binary")
+    return picked.mapInArrow(read, "kind int, doc_id long, text_hash long, n long, fp long, x binary")
 
 
 def _levels(first: DataFrame, counters: int) -> bytes:
     """One byte for each counter: 0 for ordinary ones, and higher the fuller it is; the size is fixed."""
 
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(b, np.uint16).astype(np.int64) for b in pdf["counts"])
+        total = sum(np.frombuffer(b, np.uint16).astype(np.int64) for b in pdf["x"])
         return pd.DataFrame({"n": [pdf["n"].iloc[0]], "total": [np.asarray(total, np.int64).tobytes()]})
 
-    found = first.filter("kind = 1").select("n", "counts").groupBy("n").applyInPandas(added, "n long, total binary").toArrow()
+    found = first.filter("kind = 1").select("n", "x").groupBy("n").applyInPandas(added, "n long, total binary").toArrow()
     width = min(CHUNK, counters)
     load = np.zeros(counters, np.int64)
     for n, raw in zip(found.column("n").to_pylist(), found.column("total").to_pylist(), strict=True):
@@ -145,7 +158,7 @@ def _levels(first: DataFrame, counters: int) -> bytes:
 # -- pass 2: prefixes and groups --------------------------------------------------------------------------------------
 
 
-def _prefixes(docs: DataFrame, key: str, text: str, width: int, least: int, counters: int, levels, parts: int) -> DataFrame:
+def _prefixes(docs: DataFrame, key: str, text: str, width: int, least: int, counters: int, levels, parts: int, hash_key: int) -> DataFrame:
     """part and a blob of the prefix entries that a batch has for it."""
 
     def dealt(batches):
@@ -154,7 +167,7 @@ def _prefixes(docs: DataFrame, key: str, text: str, width: int, least: int, coun
             texts = raw_texts(column(batch, "t"))
             for a in range(0, len(texts), 512):
                 keys, before, ranks, of, prints, sizes = [], [], [], [], [], []
-                for s in shingles(texts[a : a + 512], width):
+                for s in shingles(texts[a : a + 512], width, hash_key):
                     n, p = len(s), fingerprint(s)
                     if n < 3 or p in seen:  # sets of one or two elements link with equal sets only
                         continue
@@ -175,7 +188,7 @@ def _prefixes(docs: DataFrame, key: str, text: str, width: int, least: int, coun
                 part = (keys % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                prints, sizes = np.array(prints, np.int64), np.array(sizes, np.int64)
+                prints, sizes = np.array(prints, np.int64), np.array(sizes, np.uint32)
                 some = np.flatnonzero(np.diff(cuts))
                 blobs = []
                 for p in some.tolist():
@@ -195,8 +208,8 @@ def _entries(blobs: list[bytes]):
         d, n = np.frombuffer(b, np.int64, 2).tolist()
         o = 16
         prints.append(np.frombuffer(b, np.int64, d, o))
-        sizes.append(np.frombuffer(b, np.int64, d, o + 8 * d))
-        o += 16 * d
+        sizes.append(np.frombuffer(b, np.uint32, d, o + 8 * d).astype(np.int64))
+        o += 12 * d
         key, prev = np.frombuffer(b, np.uint32, n, o), np.frombuffer(b, np.uint32, n, o + 4 * n)
         local, index = np.frombuffer(b, np.uint16, n, o + 8 * n), np.frombuffer(b, np.uint8, n, o + 10 * n)
         parts.append((key, prev, index, local.astype(np.int64) + at))
@@ -255,11 +268,27 @@ def _groups(prefixes: DataFrame, least: int, parts: int) -> DataFrame:
 # -- pass 3: blocks ----------------------------------------------------------------------------------------------------
 
 
+def dims_of(size: int) -> int:
+    """Groups of a set's point: a power of two, one for at most GROUP elements."""
+    return max(LEAST_DIMS, 1 << max(0, (-(-size // GROUP) - 1).bit_length()))
+
+
+def counted(s: np.ndarray, dims: int) -> np.ndarray:
+    return np.bincount((s & np.uint64(dims - 1)).astype(np.int64), minlength=dims)
+
+
+def point(s: np.ndarray) -> bytes:
+    """A set's counts, a byte each, and lastly, in four bytes, what counts over 255 have beyond that."""
+    counts = counted(s, dims_of(len(s)))
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + np.array([np.maximum(counts - 255, 0).sum()], np.uint32).tobytes()
+
+
 class CountTree:
     """R-tree over count vectors, packed level by level; a node keeps its members' largest counts and sizes' range."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.levels = [(points, sizes, sizes)]
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, slack: int = 0):
+        """slack: how much more than the counts tell two sets may share."""
+        self.levels, self.slack = [(points, sizes, sizes)], slack
         while len(self.levels[-1][0]) > LEAF:
             top, low, high = self.levels[-1]
             at = np.arange(0, len(top), LEAF)
@@ -272,7 +301,7 @@ class CountTree:
             top, low, high = self.levels[depth]
             at = at[(100 * high[at] >= least * size) & (100 * size >= least * low[at])]
             if len(at):
-                bound = np.minimum(top[at], point).sum(1, dtype=np.int64)
+                bound = np.minimum(top[at], point).sum(1, dtype=np.int64) + self.slack
                 at = at[bound >= overlap_needed(np.maximum(low[at], -(-least * size // 100)), size, least)]
             if depth:
                 at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
@@ -280,32 +309,54 @@ class CountTree:
         return at
 
 
-def dims_of(size: int) -> int:
-    """Dimensions of a set's point: a power of two, so that a count is about one."""
-    return 1 << min(MOST_DIMS.bit_length() - 1, max(4, (size - 1).bit_length()))
+def candidates(points: list[bytes], sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v), u < v: all pairs that may link, as far as their points tell.
 
-
-def counted(s: np.ndarray, dims: int) -> np.ndarray:
-    return np.minimum(np.bincount((s & np.uint64(dims - 1)).astype(np.int64), minlength=dims), 65535).astype(np.uint16)
-
-
-def folded(points: list[np.ndarray]) -> np.ndarray:
-    """Points of as many dimensions as the smallest has; groups that fall together are added."""
-    dims = min(map(len, points))
-    return np.stack([np.minimum(p.reshape(-1, dims).sum(0, dtype=np.int64), 65535).astype(np.uint16) for p in points])
-
-
-def partnered(points: list[np.ndarray], sizes: np.ndarray, least: int) -> np.ndarray:
-    """Which sets have a partner, as far as the bound tells."""
-    order = np.lexsort((np.array([int(p.argmax()) for p in points]), sizes))
-    flat, sizes, out = folded([points[k] for k in order]), sizes[order], np.zeros(len(points), bool)
-    tree = CountTree(flat, sizes)
-    for k in range(len(order)):
-        if not out[order[k]]:
-            near = tree.search(flat[k], int(sizes[k]), least)
-            if len(near) > 1:
-                out[order[near]] = True
-    return out
+    Sets that link differ by a factor of 100 / least at most, so that a point meets points of its own dimensions and
+    of so many more, folded; no point is folded further, whatever else the block holds.
+    """
+    if len(points) == 2:  # most blocks
+        return _pairs_of_two(points, sizes, least)
+    dims = np.fromiter(map(len, points), np.int64, len(points)) - 4
+    us, vs, reach = [], [], 1 << (-(-100 // least) - 1).bit_length()
+    for d in np.unique(dims).tolist():
+        at = np.flatnonzero((dims >= d) & (dims <= reach * d))
+        at = at[np.argsort(sizes[at], kind="stable")]
+        if len(at) < 2:
+            continue
+        flat = np.stack([np.frombuffer(points[k], np.uint8, dims[k]).reshape(-1, d).sum(0, dtype=np.uint16) for k in at.tolist()])
+        slack = sum(sorted(int(np.frombuffer(points[k], np.uint32, 1, dims[k])[0]) for k in at.tolist())[-2:])
+        tree, own = CountTree(flat, sizes[at], slack), dims[at] == d
+        for k in range(len(at)):
+            near = tree.search(flat[k], int(sizes[at[k]]), least)
+            near = near[(near > k) & (own[near] | own[k])]
+            if len(near):
+                us.append(np.full(len(near), at[k]))
+                vs.append(at[near])
+    if not us:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    u, v = np.concatenate(us), np.concatenate(vs)
+    return np.minimum(u, v), np.maximum(u, v)
+
+
+def _pairs_of_two(points: list[bytes], sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    a, b = (np.frombuffer(p, np.uint8, len(p) - 4) for p in points)
+    if len(a) != len(b):
+        d = min(len(a), len(b))
+        a, b = (x.reshape(-1, d).sum(0, dtype=np.uint16) for x in (a, b))
+    slack = sum(int(np.frombuffer(p, np.uint32, 1, len(p) - 4)[0]) for p in points)
+    n, m = sizes.tolist()
+    some = 100 * min(n, m) >= least * max(n, m) and int(np.minimum(a, b).sum(dtype=np.int64)) + slack >= overlap_needed(n, m, least)
+    return np.zeros(int(some), np.int64), np.ones(int(some), np.int64)
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements that two ascending sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
 
 
 def block_forest(sets: list[np.ndarray], component: np.ndarray, cross: np.ndarray | None, least: int) -> list[tuple[int, int]]:
@@ -313,36 +364,40 @@ def block_forest(sets: list[np.ndarray], component: np.ndarray, cross: np.ndarra
 
     cross: if given, only pairs of different values count.
     """
-    sizes = np.array([len(s) for s in sets], np.int64)
-    order = np.lexsort((np.array([int(s[0]) for s in sets], np.uint64), sizes))
-    sets, sizes, component = [sets[k] for k in order], sizes[order], component[order].copy()
-    side = None if cross is None else cross[order]
-    points = folded([counted(x, dims_of(len(x))) for x in sets])
-    tree, out = CountTree(points, sizes), []
-    for k in range(len(sets)):
-        near = tree.search(points[k], int(sizes[k]), least)
-        near = near[near < k]
-        if side is not None:
-            near = near[side[near] != side[k]]
-        near = near[component[near] != component[k]][::-1]
+    sizes, component, out = np.array([len(s) for s in sets], np.int64), component.copy(), []
+    u, v = candidates([point(s) for s in sets], sizes, least)
+    if cross is not None:
+        apart = cross[u] != cross[v]
+        u, v = u[apart], v[apart]
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    for k in np.unique(u).tolist():
+        near = v[np.searchsorted(u, k) : np.searchsorted(u, k, "right")]
+        near = near[component[near] != component[k]]
         while len(near):
             j = int(near[0])
-            shared = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
-            if 100 * shared >= least * (sizes[k] + sizes[j] - shared):
-                out.append((int(order[k]), int(order[j])))
+            both = shared(sets[k], sets[j])
+            if 100 * both >= least * (sizes[k] + sizes[j] - both):
+                out.append((k, j))
                 component[component == component[j]] = component[k]
             near = near[1:]
             near = near[component[near] != component[k]]
     return out
 
 
-def _fetched(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame, as_points: bool) -> DataFrame:
-    """fp, n, x (the set's hashes, or its point) of the sets (fp, least_id) in `wanted`; perhaps of more sets, or several times.
+def _fetched(docs: DataFrame, key: str, text: str, width: int, hash_key: int, wanted: DataFrame) -> DataFrame:
+    """fp, x (the set's hashes) of the sets (fp, least_id) in `wanted`; perhaps of more sets, or several times.
 
-    A set is read from the row with its smallest key; a bitmap of fixed size tells the rows that may be meant.
+    A set is read from the row with its smallest key. A bitmap tells the rows that may be meant, unless there are so
+    many that it could not: then their rows are found by a join on the key.
     """
-    bits = 22
-    bitmap = docs.sparkSession.sparkContext.broadcast(_marks(wanted, bits))
+    number = wanted.count()
+    bits = max(16, min(28, (16 * number).bit_length()))
+    picked = docs.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t"))
+    if number > MARKED:
+        some = wanted.select(F.coalesce("least_id", F.lit(-1)).alias("least_id")).distinct()
+        picked = picked.join(some, F.coalesce("d", F.lit(-1)) == F.col("least_id"), "left_semi")
+    bitmap = docs.sparkSession.sparkContext.broadcast(_marks(wanted, bits) if number <= MARKED else b"")
 
     def fetched(batches):
         bitmap_, seen = np.frombuffer(bitmap.value, np.uint8), set()
@@ -350,19 +405,18 @@ def _fetched(docs: DataFrame, key: str, text: str, width: int, wanted: DataFrame
             ids = pc.fill_null(column(batch, "d").cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
             texts = raw_texts(column(batch, "t"))
             for a in range(0, len(texts), 512):
-                sets = shingles(texts[a : a + 512], width)
+                sets = shingles(texts[a : a + 512], width, hash_key)
                 prints = np.array([fingerprint(s) for s in sets], np.int64)
                 at = _bit_of(prints, ids[a : a + 512], bits)
                 found = []
-                for k in np.flatnonzero(bitmap_[at >> 3] >> (at & 7) & 1).tolist():
+                for k in np.flatnonzero(bitmap_[at >> 3] >> (at & 7) & 1).tolist() if len(bitmap_) else range(len(sets)):
                     if len(sets[k]) > 2 and prints[k] not in seen:
                         seen.add(prints[k])
                         found.append(k)
                 if found:
-                    blobs = [(counted(sets[k], dims_of(len(sets[k]))) if as_points else sets[k]).tobytes() for k in found]
-                    yield rows(fp=pa.array(prints[found]), n=pa.array([len(sets[k]) for k in found], pa.int64()), x=pa.array(blobs, pa.binary()))
+                    yield rows(fp=pa.array(prints[found]), x=pa.array([sets[k].tobytes() for k in found], pa.binary()))
 
-    return docs.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t")).mapInArrow(fetched, "fp long, n long, x binary")
+    return picked.mapInArrow(fetched, "fp long, x binary")
 
 
 def _bit_of(prints: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:
@@ -370,7 +424,7 @@ def _bit_of(prints: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _marks(wanted: DataFrame, bits: int) -> bytes:
-    """A bitmap of fixed size with a bit for every (fp, least_id) of `wanted`: tasks mark theirs, and the marks are merged."""
+    """A bitmap of 32 MB at most with a bit for every (fp, least_id) of `wanted`: tasks mark theirs, and the marks are merged."""
 
     def marked(batches):
         out = np.zeros(1 << bits, bool)
@@ -391,68 +445,138 @@ def _marks(wanted: DataFrame, bits: int) -> bytes:
     return out.tobytes()
 
 
-def _forests(blocks: DataFrame, least: int) -> DataFrame:
-    """a, b: links of every block (leader, low, high) of rows with fp, x (the set), component, side."""
-
-    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("fp").sort_values("fp", ignore_index=True)
-        sets = [np.frombuffer(s, np.uint64) for s in pdf["x"]]
-        one = pdf["low"].iloc[0] == pdf["high"].iloc[0]
-        found = block_forest(sets, pdf["component"].to_numpy(), None if one else pdf["side"].to_numpy(), least)
-        fp = pdf["fp"].to_numpy()
-        return pd.DataFrame({"a": fp[[i for i, _ in found]], "b": fp[[j for _, j in found]]}, dtype="int64")
-
-    return blocks.groupBy("leader", "low", "high").applyInPandas(linked, "a long, b long")
-
-
 # -- the join ----------------------------------------------------------------------------------------------------------
 
 
-def _live(placed: DataFrame, points: DataFrame, least: int) -> DataFrame:
-    """leader, fp, n of the blocks' members that have a partner there, as far as their points tell."""
+def _cut(table: pa.Table, names: tuple[str, ...]):
+    """(values of `names`, fp, the rows' numbers) of each block in a call, ascending by fp and without repetitions."""
+    keys = [table.column(c).to_numpy() for c in (*names, "fp")]
+    order = np.lexsort(keys[::-1])
+    same = np.ones(max(0, len(order) - 1), bool)
+    for k in keys[:-1]:
+        same &= k[order[1:]] == k[order[:-1]]
+    again = np.append(False, same & (keys[-1][order[1:]] == keys[-1][order[:-1]])) if len(order) else np.zeros(0, bool)
+    block = np.cumsum(np.append(True, ~same)) if len(order) else np.zeros(0, np.int64)
+    order, block = order[~again], block[~again]
+    for at in np.split(order, np.flatnonzero(np.diff(block)) + 1):
+        if len(at):
+            yield tuple(k[at[0]] for k in keys[:-1]), keys[-1][at], at
 
-    def stay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("fp").sort_values("fp", ignore_index=True)
-        kept = partnered([np.frombuffer(x, np.uint16) for x in pdf["x"]], pdf["n"].to_numpy(), least)
-        return pdf.loc[kept, ["leader", "fp", "n"]]
 
-    return placed.join(points.select("fp", "x"), "fp").groupBy("leader").applyInPandas(stay, "leader long, fp long, n long")
+def _in_calls(blocks: DataFrame, names: tuple[str, ...], size: str, tasks: int, other: DataFrame):
+    """blocks with a column x of `other`, grouped so that many small ones share a call; size: bytes of a row, in SQL."""
+    total = blocks.agg(F.sum(F.expr(size))).first()[0] or 0
+    call = F.pmod(F.xxhash64(*names), F.lit(max(tasks, -(-int(total) // CALL))))
+    return blocks.join(other, "fp").withColumn("call", call).groupBy("call")
 
 
 def _tiled(groups: DataFrame, tile: int, tile_sets: int) -> DataFrame:
     """groups with tiles, the number of tasks that a leader's block is dealt to."""
     sizes = groups.groupBy("leader").agg(F.sum("n").alias("weight"), F.count("*").alias("members"))
-    return groups.join(sizes.select("leader", F.greatest(F.ceil(F.col("weight") / tile), F.ceil(F.col("members") / tile_sets)).cast("int").alias("tiles")), "leader")
+    sizes = sizes.select("leader", F.greatest(F.ceil(F.col("weight") / tile), F.ceil(F.col("members") / tile_sets)).cast("int").alias("tiles"))
+    # written, so that a large leader's rows can be split in the join
+    return groups.join(written(sizes.filter("tiles > 1"), "wide"), "leader", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
 
 
-def _linked_sets(spark: SparkSession, docs: DataFrame, key: str, text: str, width: int, least: int, counters: int, tile: int, tile_sets: int, first: DataFrame) -> DataFrame:
+def _own_tile():
+    return F.pmod(F.xxhash64("fp", "leader"), F.col("tiles")).cast("int")
+
+
+def _dealt(tiled: DataFrame) -> DataFrame:
+    """A row for each member's tile, low and high; the leader is in every one."""
+    spread = F.when(F.col("fp") == F.col("leader"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(_own_tile()))
+    return tiled.withColumn("low", F.explode(spread)).withColumn("high", F.col("low"))
+
+
+def _live(dealt: DataFrame, points: DataFrame, least: int, tasks: int) -> DataFrame:
+    """leader, fp, n: the groups of sets that the bound leaves together in a tile, each named by its smallest member."""
+
+    def grouped_(table: pa.Table) -> pa.Table:
+        n, x, out = table.column("n").to_numpy(), table.column("x").to_pylist(), []
+        for _, fp, at in _cut(table, ("leader", "low")):
+            u, v = candidates([x[k] for k in at.tolist()], n[at], least)
+            if len(u):
+                label = labelled(len(at), u, v)
+                some = np.flatnonzero(np.bincount(label, minlength=len(at))[label] > 1)
+                out.append((fp[label[some]], fp[some], n[at[some]]))
+        leader, fp, n = map(np.concatenate, zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        return pa.table({"leader": leader, "fp": fp, "n": n})
+
+    placed = dealt.select("leader", "low", "fp", "n")
+    return _in_calls(placed, ("leader", "low"), f"n / {GROUP} + 40", tasks, points).applyInArrow(grouped_, "leader long, fp long, n long").distinct()
+
+
+def _across(pairs: DataFrame, points: DataFrame, least: int, tasks: int) -> DataFrame:
+    """The rows of pairs of tiles whose sets may link, by the bound, with a set of the other tile and another component."""
+    names = ("leader", "low", "high")
+    fields = [*names, "fp", "n", "component", "side"]
+
+    def left(table: pa.Table) -> pa.Table:
+        n, x, side, component, out = table.column("n").to_numpy(), table.column("x").to_pylist(), table.column("side").to_numpy(), table.column("component").to_numpy(), [np.zeros(0, np.int64)]
+        for _, _, at in _cut(table, names):
+            u, v = candidates([x[k] for k in at.tolist()], n[at], least)
+            u, v = at[u], at[v]
+            meets = (side[u] != side[v]) & (component[u] != component[v])
+            out.append(np.unique(np.append(u[meets], v[meets])))
+        return table.select(fields).take(pa.array(np.concatenate(out)))
+
+    placed = pairs.select(*fields)
+    return _in_calls(placed, names, f"n / {GROUP} + 60", tasks, points).applyInArrow(left, placed.schema)
+
+
+def _forests(blocks: DataFrame, sets: DataFrame, least: int, tasks: int) -> DataFrame:
+    """a, b: links of every block (leader, low, high) of rows with fp, n, component, side."""
+    names = ("leader", "low", "high")
+
+    def linked(table: pa.Table) -> pa.Table:
+        x, side, component, out = table.column("x").to_pylist(), table.column("side").to_numpy(), table.column("component").to_numpy(), []
+        for (_, low, high), fp, at in _cut(table, names):
+            found = block_forest([np.frombuffer(x[k], np.uint64) for k in at.tolist()], component[at], None if low == high else side[at], least)
+            out += [(fp[i], fp[j]) for i, j in found]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    placed = blocks.select(*names, "fp", "n", "component", "side")
+    return _in_calls(placed, names, "8 * n + 60", tasks, sets).applyInArrow(linked, "a long, b long")
+
+
+def _linked_sets(spark: SparkSession, docs: DataFrame, key: str, text: str, width: int, least: int, counters: int, tile: int, tile_sets: int, hash_key: int, first: DataFrame) -> DataFrame:
     """node, root of the sets that have links."""
     levels = spark.sparkContext.broadcast(_levels(first, counters))
-    parts = partitions(spark)
-    groups = written(_groups(_prefixes(docs, key, text, width, least, counters, levels, parts), least, parts), "groups")
+    tasks = partitions(spark)
+    longest = 100 - least + 1  # hundredths of a set that its prefix holds, about
+    parts = max(tasks, -(-int(first.filter("kind = 0").agg(F.sum("n")).first()[0] or 0) * longest * ENTRY // (100 * PART)))
+    groups = written(_groups(_prefixes(docs, key, text, width, least, counters, levels, parts, hash_key), least, parts), "groups")
     owners = first.filter("kind = 0 and n > 2").groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    owned = lambda some: some.select("fp").distinct().join(owners, "fp")
-    points = _fetched(docs, key, text, width, owned(groups), True)
-    grouped_ = written(_tiled(groups, tile, tile_sets), "tiled")
-    narrow = _live(grouped_.filter("tiles = 1"), points, least)
-    live = written(narrow.unionByName(grouped_.filter("tiles > 1").select("leader", "fp", "n")), "live")
-    sets = written(_fetched(docs, key, text, width, owned(live), False).select("fp", "x"), "sets")
+    members = groups.select("fp").distinct()
+    points = written(first.filter("kind = 0 and x is not null").select("fp", "x").join(members, "fp", "left_semi").dropDuplicates(["fp"]), "points")
+    tiled = written(_tiled(groups, tile, tile_sets), "tiled")
+    live = written(_live(_dealt(tiled), points, least, tasks), "live")
     placed = written(_tiled(live, tile, tile_sets), "placed")
-    own = F.pmod(F.xxhash64("fp", "leader"), F.col("tiles")).cast("int")
-    spread = F.when(F.col("fp") == F.col("leader"), F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(own))
-    dealt = placed.withColumn("low", F.explode(spread)).withColumn("high", F.col("low"))
-    links = written(_forests(dealt.select("leader", "fp", "low", "high").join(sets, "fp").withColumn("component", F.col("fp")).withColumn("side", F.lit(0)), least), "links")
+
+    def elements(some: DataFrame) -> DataFrame:
+        wanted = written(some.select("fp").distinct().join(owners, "fp"), "wanted")
+        return written(_fetched(docs, key, text, width, hash_key, wanted), "sets")
+
+    alone = _dealt(placed).withColumn("component", F.col("fp")).withColumn("side", F.lit(0))
+    links = written(_forests(alone, elements(live), least, tasks), "links")
     roots = components(links)
-    # blocks of several tiles whose members are not all connected: every pair of tiles
-    wide = placed.filter("tiles > 1")
+    # blocks of several tiles whose members are not all connected: the pairs of tiles
+    wide = tiled.filter("tiles > 1").withColumn("kind", F.lit(0)).unionByName(placed.filter("tiles > 1").withColumn("kind", F.lit(1)))
     known = wide.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("root", "fp")).drop("root")
-    apart = known.groupBy("leader").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("leader")
-    again = written(known.join(apart, "leader").withColumn("side", own), "again")
-    if again.isEmpty():
-        return roots
-    again = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).filter("side <> other").withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other"))
-    more = written(_forests(again.select("leader", "fp", "low", "high", "component", "side").join(sets, "fp"), least), "links")
-    return components(links.unionByName(more))
+    known = written(known.withColumn("side", _own_tile()), "known")
+    split = known.groupBy("leader", "kind").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("leader", "kind")
+    again = known.join(written(split, "split"), ["leader", "kind"])
+    pairs = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).filter("side <> other")
+    # a block's name holds its kind, as both kinds may have the same leader
+    pairs = pairs.withColumn("low", 2 * F.least("side", "other") + F.col("kind")).withColumn("high", 2 * F.greatest("side", "other") + F.col("kind"))
+    left = written(_across(pairs, points, least, tasks), "left")
+    if not left.isEmpty():
+        more = written(_forests(left, elements(left), least, tasks), "links")
+        roots = components(links.unionByName(more))
+        dropped(more)
+    for table in (groups, points, tiled, live, placed, known, left, links):
+        dropped(table)
+    return roots
 
 
 JOINED = "doc_id long, n_shingles long, component_id long"
@@ -460,9 +584,9 @@ JOINED = "doc_id long, n_shingles long, component_id long"
 
 def _joined(docs: DataFrame, key: str, text: str, width: int, least: int, counters: int, tile: int, tile_sets: int) -> DataFrame:
     """doc_id, text_hash, n, fp, component_id."""
-    spark = docs.sparkSession
-    first = written(_first_pass(docs, key, text, width, counters), "shingled")
-    roots = _linked_sets(spark, docs, key, text, width, least, counters, tile, tile_sets, first)
+    spark, hash_key = docs.sparkSession, fresh_key()
+    first = written(_first_pass(docs, key, text, width, counters, hash_key), "shingled")
+    roots = _linked_sets(spark, docs, key, text, width, least, counters, tile, tile_sets, hash_key, first)
     plain = first.filter("kind = 0").select("doc_id", "text_hash", "n", "fp")
     sets = plain.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     placed = written(sets.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
@@ -484,13 +608,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, least: int = LEAST, counters: int = COUNTERS, tile: int = TILE, tile_sets: int = TILE_SETS) -> DataFrame:
     """The rows of docs, with all their columns, that stay when one document of each component does: the one with the
-    smallest key. Of repeated rows (equal key and text) one stays. Rows without a key go if their component has one."""
+    smallest key. Of repeated rows (equal key and text) one stays. Rows without a key go if their component has one.
+
+    Null and empty texts, and texts without words, link with nothing and stay; texts of any length are compared whole;
+    an empty table gives an empty result; other columns may have any name and are passed on as they are.
+    """
     found = _joined(docs, key, text, width, least, counters, tile, tile_sets)
-    gone = found.filter("doc_id is null and component_id is not null or doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
-    gone = written(gone, "gone")
-    again = written(found.filter("doc_id is not null and doc_id = component_id and n > 0").groupBy("doc_id", "text_hash").count().filter("count > 1").select(F.col("doc_id").alias("again_id"), F.col("text_hash").alias("again_hash")), "again")
-    marked = docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(F.col(text)) == F.col("gone_hash")), "left_anti")
+    d, h = unused(docs, "d"), unused(docs, "h")
+    pair = [F.col("doc_id").alias(d), F.col("text_hash").alias(h)]
+    gone = written(found.filter("doc_id is null and component_id is not null or doc_id <> component_id").select(*pair).distinct(), "gone")
+    again = found.filter("doc_id is not null and doc_id = component_id and n > 0").groupBy("doc_id", "text_hash").count().filter("count > 1")
+    again = written(again.select(*pair), "again")
+    same = F.col(key).cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.col(text)) == F.col(h))
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST else df
+    marked = docs.join(small(gone), same, "left_anti")
     if again.isEmpty():
         return marked
-    same = (F.col(key).cast("long") == F.col("again_id")) & (F.xxhash64(F.col(text)) == F.col("again_hash"))
+    again = small(again)
     return marked.join(again, same, "left_anti").unionByName(marked.join(again, same, "left_semi").dropDuplicates([key, text]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ _own: dict[str, str] = {}  # by application, where nothing is set
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one if all runs in one process, as in tests."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         folder = _own[app] = _own.get(app) or "file://" + tempfile.mkdtemp(prefix="lodeframe-")
     return folder.rstrip("/")

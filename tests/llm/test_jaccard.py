@@ -112,3 +112,42 @@ def test_tables(spark):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
     assert sorted(tuple(r) for r in jaccard.jaccard_components(documents).collect()) == sorted(brute(rows))
+
+
+def test_long_sets_beside_short_ones():
+    rng = np.random.default_rng(5)
+    long = np.unique(rng.integers(0, 1 << 63, 1_300_000).astype(np.uint64))
+    also = np.unique(np.append(long[10:], rng.integers(0, 1 << 63, 10).astype(np.uint64)))
+    short = long[:10]
+    dense = (np.arange(3_000, dtype=np.uint64) << np.uint64(40)) + np.uint64(5)  # all in one group: counts beyond a byte
+    sets = [short, long, also, dense, dense[300:], dense[1800:]]
+    found = jaccard.block_forest(sets, np.arange(6), None, 75)
+    assert sorted(map(sorted, found)) == [[1, 2], [3, 4]]
+    for least in (75, 30):
+        u, v = jaccard.candidates([jaccard.point(s) for s in sets], np.array([len(s) for s in sets]), least)
+        pairs = set(zip(u.tolist(), v.tolist()))
+        for i, a in enumerate(sets):
+            for j in range(i):
+                both = jaccard.shared(a, sets[j])
+                assert both == len(np.intersect1d(a, sets[j]))
+                assert 100 * both < least * (len(a) + len(sets[j]) - both) or (j, i) in pairs
+
+
+def test_words_that_collide_modulo_a_power_of_two():
+    bits = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = bits.translate(str.maketrans("ab", "ba"))
+    one, two = jaccard.shingles([f"w x y z {w}".encode() for w in (bits, other)])
+    assert not len(np.intersect1d(one, two))
+
+
+def test_more_columns_and_rows_that_are_joined(spark, monkeypatch):
+    rows = copies(5, docs=20) + EDGES
+    names = ["doc_id", "text", "d", "h_", "H", "leader", "text_hash", "component_id"]
+    df = spark.createDataFrame([(d, t, "p", "q", None, 1, 2, 3) for d, t in rows], "doc_id long, text string, d string, h_ string, H string, leader int, text_hash int, component_id int")
+    want = sorted({(str(d), str(t)) for (d, t), (_, n, c) in zip(rows, brute(rows)) if d is not None and (d == c or not n)})
+    for most in (1 << 24, 0):  # 0: sets' documents are joined by key, and nothing is broadcast
+        monkeypatch.setattr(jaccard, "MARKED", most)
+        monkeypatch.setattr(jaccard, "BROADCAST", most)
+        kept = jaccard.one_of_each(df)
+        assert kept.columns == names
+        assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == want
