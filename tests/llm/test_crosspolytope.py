@@ -59,26 +59,41 @@ def test_against_brute_force(spark, monkeypatch):
     assert crosspolytope.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_recall(spark):
-    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    got = {r.vec_id: r for r in crosspolytope.near_duplicates(vectors).collect()}
-    x = {r.vec_id: np.array(r.embedding, float) for r in vectors.collect()}
-    ids = sorted(x)
-    m = np.array([x[k] / np.linalg.norm(x[k]) for k in ids])
-    want = ((m @ m.T) >= 0.9).sum(1) - 1
-    found = np.array([got[k].n_links for k in ids])
-    assert (found <= want).all() and found.sum() >= 0.9 * want.sum()
-
-
-@pytest.mark.parametrize(("in_bucket", "joined"), [(1, 2), (0.1, 3)])
-def test_recall_of_joined_codes(spark, monkeypatch, in_bucket, joined):
+def planted(cosine, dim=64, pairs=1000):
     rng = np.random.default_rng(6)
-    a, b = rng.normal(size=(2, 1000, 64))
+    a, b = rng.normal(size=(2, pairs, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     b -= (a * b).sum(1, keepdims=True) * a
-    b = 0.901 * a + np.sqrt(1 - 0.901**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
-    assert 128 ** (joined - 1) < 2000 / in_bucket <= 128**joined
+    return a, cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("vectors", [10**3, 10**4, 10**5, 10**6, 10**7, 10**9, 10**11])
+def test_recall_does_not_fall_with_size(vectors):
+    shape = crosspolytope.shape_for(vectors, 64)
+    assert vectors / 512 <= 128 ** (shape[0] - 1) * 2 * shape[1] or vectors < 1000
+    tables = crosspolytope.tables_for(64, shape, crosspolytope.TABLES, crosspolytope.PROBES, 0.9)
+    for cosine in (0.9, 0.92):
+        a, b = planted(cosine)
+        x, y = (crosspolytope.codes(v, tables, shape, crosspolytope.PROBES) for v in (a, b))
+        assert np.any([crosspolytope._met(x[:, t], y[:, t]) for t in range(tables)], 0).mean() >= 0.99
+
+
+@pytest.mark.parametrize(("in_bucket", "shape"), [(16, (1, 64)), (1, (2, 8)), (0.05, (3, 2))])
+def test_recall_of_joined_codes(spark, monkeypatch, in_bucket, shape):
+    a, b = planted(0.901)
     monkeypatch.setattr(crosspolytope, "IN_BUCKET", in_bucket)
+    assert crosspolytope.shape_for(2000, 64) == shape
     df = spark.createDataFrame([(k, v) for k, v in enumerate([*a.tolist(), *b.tolist()])], "vec_id long, embedding array<double>")
     got = {r.vec_id: r.component_id for r in crosspolytope.near_duplicates(df).collect()}
     assert np.mean([got[k] == got[1000 + k] for k in range(1000)]) >= 0.995
+
+
+def test_recall(spark):
+    vectors = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+    got = {r.vec_id: r for r in crosspolytope.near_duplicates(vectors).collect()}
+    x = {r.vec_id: np.array(r.embedding, float) for r in vectors.collect()}
+    ids = sorted(x)
+    m = np.array([x[k] / np.linalg.norm(x[k]) for k in ids])
+    want = np.concatenate([((m[a : a + 1000] @ m.T) >= 0.9).sum(1) - 1 for a in range(0, len(m), 1000)])
+    found = np.array([got[k].n_links for k in ids])
+    assert want.sum() > 10_000 and (found <= want).all() and found.sum() >= 0.9 * want.sum()
