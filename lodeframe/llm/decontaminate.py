@@ -6,7 +6,7 @@ an item of fewer words is one window as a whole. All windows of the benchmark me
 the documents in a hash join: plain windows with plain ones, so that a verbatim copy counts whatever its case, white
 space and share of placeholders, and template windows of LITERALS words or more with template windows. Windows of one
 document and item that are displaced alike form an alignment; its slots are consistent if equal values of the item
-stand for equal values in the document. A consistent alignment that covers enough words is a leak, verbatim if the
+stand for equal values in the document, and different ones for different ones. A consistent alignment that covers enough words is a leak, verbatim if the
 values are the item's own, re-parameterised if they differ.
 """
 
@@ -23,10 +23,11 @@ LITERALS = 4  # words of a benchmark's template window that are no placeholders,
 COVERED = 12  # words that an alignment covers, at least; a window is enough for items of fewer than SHORT words
 SHORT = 15
 IN_ALL = 24  # words that all alignments of an item cover, at least, where none covers enough
-SMALL = 4_000_000  # benchmark windows that may be broadcast
+SMALL = 1 << 26  # bytes of benchmark windows, as estimated, that may be broadcast
 
 # Placeholders: characters for private use, which count as words.
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
+POINT = "\ue003"  # stands for a decimal separator inside a number
 
 # Units, which are placeholders where they follow a number.
 UNITS = (
@@ -39,13 +40,14 @@ UNITS = (
 def canonical(text: Column) -> tuple[Column, Column]:
     """(template words, the words themselves): arrays of equal length."""
     units = rf"(?i:{'|'.join(UNITS)})\b"
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), "[\ue000-\ue002\\s\\p{Z}]+", " ")
-    plain = F.regexp_replace(plain, r"(?<=\d)[.,](?=\d)", "")
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), "[\ue000-\ue003\\s\\p{Z}]+", " ")
+    plain = F.regexp_replace(plain, r"(?<=\d),(?=\d{3}(?!\d))", "")
+    plain = F.regexp_replace(plain, r"(?<=\d)[.,](?=\d)", POINT)
     plain = F.regexp_replace(plain, rf"(?<=\d)(?={units})", " ")
     marked = F.regexp_replace(plain, r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+", NAME)
-    marked = F.regexp_replace(marked, r"(?<![\p{L}\p{N}])\p{Nd}+(?![\p{L}\p{N}])", NUMBER)
+    marked = F.regexp_replace(marked, rf"(?<![\p{{L}}\p{{N}}{POINT}])\p{{Nd}}+(?:{POINT}\p{{Nd}}+)*(?![\p{{L}}\p{{N}}{POINT}])", NUMBER)
     marked = F.regexp_replace(marked, rf"(?<={NUMBER} ){units}", UNIT)
-    words = lambda c: F.split(F.trim(F.regexp_replace(c, "[^\\p{L}\\p{N}\ue000-\ue002]+", " ")), " ")
+    words = lambda c: F.split(F.trim(F.regexp_replace(c, "[^\\p{L}\\p{N}\ue000-\ue003]+", " ")), " ")
     template = words(F.lower(marked))
     return template, F.when(marked == plain, template).otherwise(words(F.lower(plain)))
 
@@ -112,7 +114,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     literals = F.size(F.filter("c", lambda x: ~is_slot(x)))
     wanted = wanted.filter((literals >= LITERALS) | (literals == F.size("c")))
     wanted = wanted.select("item_id", "item_words", F.col("position").alias("item_position"), "h", F.col("c").alias("item_c"), F.col("w").alias("item_w"))
-    if benchmark.count() and wanted.count() <= SMALL:
+    size = wanted.agg(F.sum(F.octet_length(F.concat_ws(" ", "item_c", "item_w")) + 64 * F.size("item_w") + 100)).first()[0] or 0
+    if 0 < size <= SMALL:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("t")).filter("length(t) > 0")
     texts = texts.select("doc_id", "text_hash", template.alias("template"), words.alias("words"))
@@ -124,10 +127,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     offset = F.col("position") - F.col("item_position")
     aligned = found.groupBy("doc_id", "text_hash", "item_id", "item_words", offset.alias("offset")).agg(F.collect_set("item_position").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     pairs = F.col("slots")
-    values = F.array_distinct(F.transform(pairs, lambda s: F.struct(s["kind"], s["was"])))
+    values = lambda side: F.size(F.array_distinct(F.transform(pairs, lambda s: F.struct(s["kind"], s[side]))))
     changed = F.exists(pairs, lambda s: s["was"] != s["now"])
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.least(F.lit(WINDOW), F.col("item_words")) - 1)))))
-    consistent = aligned.filter(F.size(values) == F.size(pairs)).withColumn("changed", changed).withColumn("n", F.size("at")).withColumn("covered", covered)
+    consistent = aligned.filter((values("was") == F.size(pairs)) & (values("now") == F.size(pairs))).withColumn("changed", changed).withColumn("n", F.size("at")).withColumn("covered", covered)
     enough = F.when(F.col("item_words") < SHORT, F.least(F.lit(WINDOW), F.col("item_words"))).otherwise(COVERED)
     per_item = consistent.groupBy("doc_id", "text_hash", "item_id", "item_words").agg(F.max("n").alias("best"), F.max("covered").alias("covered"), F.sum("covered").alias("total"), F.bool_or("changed").alias("changed"))
     hit = per_item.filter((F.col("covered") >= enough) | (F.col("total") >= IN_ALL))
@@ -138,8 +141,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **columns) -> DataFrame:
-    """The rows of docs whose key leaks no benchmark item, with all their columns; rows without a key stay."""
+    """The rows of docs whose key leaks no benchmark item, with all their columns; rows without a key stay.
+
+    Null and empty texts leak nothing and stay; texts of any length are searched whole; repeated rows stay or go
+    together; an empty table on either side takes nothing away; other columns may have any name.
+    """
     from lodeframe.llm.scratch import written
 
     found = written(leaks(docs, benchmark, key=key, **columns).select(F.col("doc_id").alias("leaked")).filter("leaked is not null").distinct(), "leaked")
-    return docs.join(found, docs[key] == found["leaked"], "left_anti")
+    return docs.join(found, docs[key].cast("long") == found["leaked"], "left_anti")

@@ -95,3 +95,26 @@ def test_case_and_white_space(spark):
     benchmark = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     df = spark.createDataFrame([(d, t, None, None, 1) for d, t, _ in docs() if d in (5, 6)], SCHEMA)
     assert {(r.doc_id, r.kind) for r in decontaminate.leaks(df, benchmark).collect()} == {(5, "verbatim"), (6, "verbatim")}
+
+
+def test_different_values_stay_different_and_decimals_count(spark):
+    items = ["Mix 12 cups of flour with 5 cups of milk and 6 spoons of sugar before you bake the whole cake slowly", "The small boat needs 3.5 hours for the way up the wide river and the old ferry needs 35 minutes more than that"]
+    rows = [
+        (1, items[0].replace("12", "9").replace("5", "9").replace("6", "9"), None),
+        (2, items[0].replace("12", "31").replace("5", "8").replace("6", "40"), "re-parameterised"),
+        (3, items[1].replace("35 ", "3.5 "), None),
+        (4, items[1].replace("35 ", "70 ").replace("3.5", "7.25"), "re-parameterised"),
+        (5, items[1], "verbatim"),
+    ]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.leaks(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), benchmark).collect()
+    assert {(r.doc_id, r.kind) for r in got} == {(d, k) for d, _, k in rows if k}
+    clashing = spark.createDataFrame([(str(d), t, "x", "y") for d, t, _ in rows], "doc_id string, text string, leaked string, item_id string")
+    assert sorted(r.doc_id for r in decontaminate.decontaminated(clashing, benchmark).collect()) == ["1", "3"]
+
+
+def test_join_by_shuffle_finds_the_same(spark, monkeypatch):
+    documents, benchmark = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    want = sorted(map(str, decontaminate.leaks(documents, benchmark).collect()))
+    monkeypatch.setattr(decontaminate, "SMALL", 0)
+    assert want == sorted(map(str, decontaminate.leaks(documents, benchmark).collect()))
