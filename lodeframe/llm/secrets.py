@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -185,13 +186,15 @@ def trained(findings: list[tuple[str, str, str, str, int]] | None = None, **how)
 def candidates(raw: bytes) -> list[tuple[int, int, str]]:
     """(first byte, end, rule) of what may be a secret, in order and without overlaps; assigned values come first."""
     found = [(*m.span(1), "assigned") for m in ASSIGNED.finditer(raw)]
-    taken = [(a, b) for a, b, _ in found]
+    taken, at = [(a, b) for a, b, _ in found], 0
     for m in RUN.finditer(raw):
         value = m[0]
         # a run without a digit, and without capitals after its first letter, is a word or a rule of signs
         if not any(48 <= c <= 57 for c in value) and not any(65 <= c <= 90 for c in value[1:]) or value.isupper() and value.isalpha():
             continue
-        if not any(a < m.end() and m.start() < b for a, b in taken):
+        while at < len(taken) and taken[at][1] <= m.start():  # both are in order
+            at += 1
+        if at == len(taken) or m.end() <= taken[at][0]:
             found.append((*m.span(), "run"))
     return sorted(found)
 
@@ -252,7 +255,11 @@ def scan_secrets(docs: DataFrame, forest: Forest | None = None, cut: float = 0.5
 
 
 def redacted(docs: DataFrame, forest: Forest | None = None, cut: float = 0.5, text: str = "text", path: str | None = "source", mark: bytes = b"[SECRET]", n_chars: str | None = "n_chars") -> DataFrame:
-    """docs with every secret replaced by a mark and n_chars, where there is such a column, counted anew. No row goes."""
+    """docs with every secret replaced by a mark and n_chars, where there is such a column, counted anew. No row goes.
+
+    Null and empty texts stay as they are; texts of any length are scanned whole; a null path counts as empty; repeated
+    rows are redacted alike; an empty table gives an empty result; other columns may have any name and are passed on.
+    """
     blob = docs.sparkSession.sparkContext.broadcast(pickle.dumps(forest or trained()))
     path = path if path in docs.columns else None
     n_chars = n_chars if n_chars in docs.columns else None
@@ -261,7 +268,7 @@ def redacted(docs: DataFrame, forest: Forest | None = None, cut: float = 0.5, te
         for batch in batches:
             texts, found = _batch_scan(batch, text, path, blob.value)
             old = column(batch, text).to_pylist()
-            counts = column(batch, n_chars).to_pylist() if n_chars else None
+            changed = np.zeros(len(old), bool)
             for k, fs in enumerate(found):
                 parts, at = [], 0
                 for a, b, _, s in fs:
@@ -270,9 +277,11 @@ def redacted(docs: DataFrame, forest: Forest | None = None, cut: float = 0.5, te
                         at = b
                 if parts:
                     old[k] = b"".join([*parts, texts[k][at:]]).decode("utf-8", "replace")
-                    if counts:
-                        counts[k] = len(old[k])
-            new = {text: old} | ({n_chars: counts} if counts else {})
-            yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else batch.column(i) for i, f in enumerate(batch.schema)], schema=batch.schema)
+                    changed[k] = True
+            new = {text: pa.array(old, batch.schema.field(text).type)}
+            if n_chars:
+                before = column(batch, n_chars)
+                new[n_chars] = pc.if_else(pa.array(changed), pa.array([len(t or "") for t in old], pa.int64()).cast(before.type), before)
+            yield pa.RecordBatch.from_arrays([new.get(f.name, batch.column(i)) for i, f in enumerate(batch.schema)], schema=batch.schema)
 
     return docs.mapInArrow(cleaned, docs.schema)

@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import numpy as np
 
@@ -62,3 +63,65 @@ def test_long_values(spark):
     got = {r.doc_id: r for r in secrets.scan_secrets(df, forest).collect()}
     assert [(got[k].length, got[k].digest, got[k].is_secret) for k in range(3)] == [(len(v), hashlib.sha256(v.encode()).hexdigest(), True) for v in values]
     assert {r.text for r in secrets.redacted(df, forest).collect()} == {'some words before token = "[SECRET]" and after'}
+
+
+def brute_candidates(text):
+    """By the rule's words: assigned values first, then runs that touch none of them."""
+    found, names = [], ("passwd", "password", "passwrd", "pwd", "secret", "token", "api_key", "api-key", "apikey", "access_key", "private_key", "credential", "credentials")
+    run = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+    at = 0
+    while at < len(text):
+        end = None
+        for name in names:
+            if text[at:].lower().startswith(name):
+                k = at + len(name)
+                while k < len(text) and (text[k].isalnum() or text[k] == "_") and k - at - len(name) < 20:
+                    k += 1
+                blank = lambda k: k + min(3, len(text[k:]) - len(text[k:].lstrip(" \n")))
+                quote = lambda k: k + (text[k : k + 1] in ("'", '"'))
+                k = blank(quote(k))
+                for signs in (2, 1):
+                    if len(text) < k + signs or not set(text[k : k + signs]) <= set(":="):
+                        continue
+                    first = stop = quote(blank(k + signs))
+                    while stop < len(text) and text[stop] not in " \n\"'<>,;":
+                        stop += 1
+                    if stop - first >= 6:
+                        end = stop
+                        found.append((first, stop, "assigned"))
+                        break
+                if end:
+                    break
+        at = end or at + 1
+    at = 0
+    while at < len(text):
+        stop = at
+        while stop < len(text) and text[stop] in run:
+            stop += 1
+        value = text[at:stop]
+        if len(value) >= 16 and (any(c.isdigit() for c in value) or any(c.isupper() for c in value[1:])) and not (value.isupper() and value.isalpha()) and not any(a < stop and at < b for a, b, r in found if r == "assigned"):
+            found.append((at, stop, "run"))
+        at = max(stop, at + 1)
+    return sorted(found)
+
+
+def test_candidates_against_brute_force():
+    rng = np.random.default_rng(8)
+    parts = ["token", "my_secret", "password", " = ", "=", ": ", '"', " ", "\n", "plain words", KEY, "x" * 30, "AB12" * 6, "ABCDEFGHIJKLMNOPQRST", "hunter2!", "api_key", "'", ",", "q7" * 200, "/usr/local/lib64/python", "short1"]
+    for _ in range(400):
+        text = "".join(parts[i] for i in rng.integers(0, len(parts), 14))
+        assert secrets.candidates(text.encode()) == brute_candidates(text), text
+
+
+def test_long_texts_take_linear_time():
+    text = (f'token = "{KEY}" and {KEY[::-1]} then ' * 40000).encode()
+    began = time.process_time()
+    assert len(secrets.candidates(text)) == 80000
+    assert time.process_time() - began < 10
+
+
+def test_long_values_and_other_columns(spark):
+    value = (KEY + "/" + KEY[::-1]) * 125
+    df = spark.createDataFrame([(1, f'token = "{value}" end', "7", "p"), (2, "nothing here", "12", None), (3, None, None, "p")], "doc_id long, text string, n_chars string, d string")
+    got = {r.doc_id: r for r in secrets.redacted(df).collect()}
+    assert got[1].text == 'token = "[SECRET]" end' and got[1].n_chars == str(len(got[1].text)) and got[2].n_chars == "12" and got[3].text is None and got[3].n_chars is None
