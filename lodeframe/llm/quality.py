@@ -176,8 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     marked = labels.select(F.col(key).cast("long").alias("d"), F.col(label).cast("int").alias("y")).filter("d is not null and y in (0, 1)").groupBy("d").agg(F.max("y").alias("y"))
     chosen = marked.filter(~held_out("d")).orderBy(F.xxhash64("d"), "d").limit(sample)
-    found = docs.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t")).join(F.broadcast(chosen), "d").mapInArrow(cut, "d long, y int, n long, w binary").toArrow()
-    found = sorted(zip(*(found.column(c).to_pylist() for c in "dynw"), strict=True))[: 2 * sample]
+    found = docs.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t")).join(F.broadcast(chosen), "d").mapInArrow(cut, "d long, y int, n long, w binary")
+    found = found.groupBy("d").agg(F.min(F.struct("y", "n", "w")).alias("s")).select("d", "s.*").toArrow()  # a row for each key
+    found = sorted(zip(*(found.column(c).to_pylist() for c in "dynw"), strict=True))
     windows = np.zeros((len(found), WINDOWS, size), np.uint8)
     sizes = np.zeros((len(found), WINDOWS), np.int64)
     for k, (_, _, n, w) in enumerate(found):
@@ -221,5 +222,10 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", cut: float = CUT) -> DataFrame:
-    """The rows of docs whose score is at least `cut`, with all their columns."""
+    """The rows of docs whose score is at least `cut`, with all their columns, whatever their names.
+
+    Null and empty texts are scored as an empty text, and texts of any length whole; rows with a null key are scored
+    like others; repeated rows stay or go together; without labels of both kinds all rows have one score, 0.5 where
+    there are none at all; an empty table gives an empty result.
+    """
     return _scored(fit(docs, labels, key, text), key, text, docs, cut)
