@@ -3,7 +3,7 @@
 Numbers, units after a number and names inside a sentence become typed placeholders; the other words are lower-cased
 and freed of punctuation. A template window is WINDOW such words, a plain window WINDOW words without placeholders;
 an item of fewer words is one window as a whole. All windows of the benchmark meet those that begin at any word of
-the documents in a hash join: plain windows with plain ones, so that a verbatim copy counts whatever its case, white
+the documents in a hash join, for which a bitmap of the benchmark's hashes picks the documents' windows: plain windows with plain ones, so that a verbatim copy counts whatever its case, white
 space and share of placeholders, and template windows of LITERALS words or more with template windows. Windows of one
 document and item that are displaced alike form an alignment; its slots are consistent if equal values of the item
 stand for equal values in the document, and different ones for different ones. A consistent alignment that covers enough words is a leak, verbatim if the
@@ -23,6 +23,7 @@ LITERALS = 4  # words of a benchmark's template window that are no placeholders,
 COVERED = 12  # words that an alignment covers, at least; a window is enough for items of fewer than SHORT words
 SHORT = 15
 IN_ALL = 24  # words that all alignments of an item cover, at least, where none covers enough
+MARKS = 1 << 22  # bits of the constant that tells the benchmark's windows from others
 SMALL = 1 << 26  # bytes of benchmark windows, as estimated, that may be broadcast
 
 # Placeholders: characters for private use, which count as words.
@@ -39,14 +40,15 @@ UNITS = (
 
 def canonical(text: Column) -> tuple[Column, Column]:
     """(template words, the words themselves): arrays of equal length."""
+    # a pattern begins with what it consumes and only then looks behind, so that few places are tried
     units = rf"(?i:{'|'.join(UNITS)})\b"
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), "[\ue000-\ue003\\s\\p{Z}]+", " ")
-    plain = F.regexp_replace(plain, r"(?<=\d),(?=\d{3}(?!\d))", "")
-    plain = F.regexp_replace(plain, r"(?<=\d)[.,](?=\d)", POINT)
-    plain = F.regexp_replace(plain, rf"(?<=\d)(?={units})", " ")
-    marked = F.regexp_replace(plain, r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+", NAME)
-    marked = F.regexp_replace(marked, rf"(?<![\p{{L}}\p{{N}}{POINT}])\p{{Nd}}+(?:{POINT}\p{{Nd}}+)*(?![\p{{L}}\p{{N}}{POINT}])", NUMBER)
-    marked = F.regexp_replace(marked, rf"(?<={NUMBER} ){units}", UNIT)
+    plain = F.regexp_replace(plain, r",(?<=\d,)(?=\d{3}(?!\d))", "")
+    plain = F.regexp_replace(plain, r"[.,](?<=\d.)(?=\d)", POINT)
+    plain = F.regexp_replace(plain, rf"\d(?={units})", "$0 ")
+    marked = F.regexp_replace(plain, r"\p{Lu}(?<=[\p{Ll},;] .)\p{Ll}+", NAME)
+    marked = F.regexp_replace(marked, rf"\p{{Nd}}(?<![\p{{L}}\p{{N}}{POINT}].)\p{{Nd}}*+(?:{POINT}\p{{Nd}}++)*+(?![\p{{L}}\p{{N}}{POINT}])", NUMBER)
+    marked = F.regexp_replace(marked, rf"{NUMBER} {units}", f"{NUMBER} {UNIT}")
     words = lambda c: F.split(F.trim(F.regexp_replace(c, "[^\\p{L}\\p{N}\ue000-\ue003]+", " ")), " ")
     template = words(F.lower(marked))
     return template, F.when(marked == plain, template).otherwise(words(F.lower(plain)))
@@ -70,21 +72,37 @@ def hashes(words: Column, length: int) -> Column:
     return F.slice(out, 1, F.greatest(F.size(words) - WINDOW + 1, F.lit(0)))
 
 
-def windows(table: DataFrame, lengths: list[int], *keep: str, whole: bool = False) -> DataFrame:
+def bitmap(wanted: DataFrame) -> Callable[[Column], Column]:
+    """Whether a hash may be one of `wanted`, by a constant of MARKS bits at most; its words are added up in the plan."""
+    number = wanted.count()
+    bits = 1 << min(MARKS.bit_length() - 1, max(16, (16 * number).bit_length()))
+    place = F.col("h").bitwiseAND(F.lit(bits - 1))
+    found = wanted.select(F.shiftright(place, 6).alias("k"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("k").agg(F.expr("bit_or(b)").alias("b")).collect()
+    words = [0] * (bits >> 6)
+    for r in found:
+        words[r.k] = r.b
+    constant = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+    return lambda h: F.getbit(F.get(constant, F.shiftright(h.bitwiseAND(F.lit(bits - 1)), 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def windows(table: DataFrame, lengths: list[int], *keep: str, whole: bool = False, may: Callable[[Column], Column] | None = None) -> DataFrame:
     """keep, position, h (hash of the window), w (its words), c (the words that were hashed, with whole alone).
 
-    Template windows, and plain windows where those differ.
+    Template windows, and plain windows where those differ; with `may`, only those whose hash it accepts, so that
+    words are taken out and rows are made for few places.
     """
 
     def of(length: int) -> Column:
-        def rows(of: Column, h: Column) -> Column:
-            one = lambda x, i: F.struct(i.alias("position"), x.alias("h"), F.slice(F.col("words"), i + 1, length).alias("w"), *([F.slice(of, i + 1, length).alias("c")] if whole else []))
-            return F.transform(h, one)
+        def rows(of: Column, h: Column, fits: Callable[[Column], Column] | None) -> Column:
+            places = F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1)).otherwise(F.array().cast("array<int>"))
+            if fits:
+                places = F.filter(places, fits)
+            return F.transform(places, lambda i: F.struct(i.alias("position"), h[i].alias("h"), F.slice(F.col("words"), i + 1, length).alias("w"), *([F.slice(of, i + 1, length).alias("c")] if whole else [])))
 
         def both(h: Column) -> Column:
-            plain = once(hashes(F.col("words"), length), lambda p: F.filter(rows(F.col("words"), p), lambda s: s["h"] != h[s["position"]]))
-            first = rows(F.col("template"), h)
-            return F.when(F.col("template") == F.col("words"), first).otherwise(F.concat(first, plain))
+            first = rows(F.col("template"), h, (lambda i: may(h[i])) if may else None)
+            other = lambda p: rows(F.col("words"), p, lambda i: (p[i] != h[i]) & may(p[i]) if may else p[i] != h[i])
+            return F.when(F.col("template") == F.col("words"), first).otherwise(F.concat(first, once(hashes(F.col("words"), length), other)))
 
         return once(hashes(F.col("template"), length), both)
 
@@ -114,12 +132,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     literals = F.size(F.filter("c", lambda x: ~is_slot(x)))
     wanted = wanted.filter((literals >= LITERALS) | (literals == F.size("c")))
     wanted = wanted.select("item_id", "item_words", F.col("position").alias("item_position"), "h", F.col("c").alias("item_c"), F.col("w").alias("item_w"))
+    may = bitmap(wanted)
     size = wanted.agg(F.sum(F.octet_length(F.concat_ws(" ", "item_c", "item_w")) + 64 * F.size("item_w") + 100)).first()[0] or 0
     if 0 < size <= SMALL:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("t")).filter("length(t) > 0")
     texts = texts.select("doc_id", "text_hash", template.alias("template"), words.alias("words"))
-    found = windows(texts, [*short, WINDOW], "doc_id", "text_hash").join(wanted, "h")
+    found = windows(texts, [*short, WINDOW], "doc_id", "text_hash", may=may).join(wanted, "h")
     # not as a plain equality, from which Catalyst would infer the benchmark's filters for every window
     slot = F.transform(F.arrays_zip("item_c", "item_w", "w"), lambda s: F.struct(s["item_c"].alias("kind"), s["item_w"].alias("was"), s["w"].alias("now")))
     found = found.withColumn("slots", slot).filter(F.coalesce(F.forall("slots", lambda s: is_slot(s["kind"]) | (s["kind"] == s["now"])), F.lit(False)))
