@@ -174,7 +174,7 @@ class Encoder:
     slots: entries of the worker's cache; room: ids that it may hold before it is emptied.
     """
 
-    def __init__(self, path: str, slots: int = 1 << 21, room: int = 1 << 24):
+    def __init__(self, path: str, slots: int = 1 << 20, room: int = 1 << 22):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -117,7 +117,7 @@ def _first_pass(docs: DataFrame, key: str, text: str, width: int, counters: int,
 
     def read(batches):
         counts, seen = np.zeros(counters, np.int64), set()
-        for batch in batches:
+        for batch in (whole.slice(a, 512) for whole in batches for a in range(0, whole.num_rows, 512)):
             sets = shingles(raw_texts(column(batch, "t")), width, hash_key)
             prints, points, fresh = [fingerprint(s) for s in sets], [None] * len(sets), []
             for k, (s, p) in enumerate(zip(sets, prints, strict=True)):

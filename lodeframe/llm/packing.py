@@ -69,7 +69,7 @@ def document_pieces(docs: DataFrame, path: str, most: int = 1024, end_id: int =
 
     def made(batches):
         enc, end = encoder(path), np.array([end_id], np.uint32)
-        for batch in batches:
+        for batch in (b.slice(a, 512) for b in batches for a in range(0, b.num_rows, 512)):
             whole = [np.append(ids, end) for ids in enc.encode(raw_texts(column(batch, "t")))]
             parts = [cut(ids, most) for ids in whole]
             of = np.repeat(np.arange(len(whole)), [len(p) for p in parts])
