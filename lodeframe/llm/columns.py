@@ -27,3 +27,9 @@ def unused(df, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def released() -> None:
+    """Give what this worker has freed back to the system: workers are reused, and others need the memory meanwhile."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.llm.bytebpe import fresh_key, mixed, span_hashes
-from lodeframe.llm.columns import column, raw_texts, rows, unused
+from lodeframe.llm.columns import column, raw_texts, released, rows, unused
 from lodeframe.llm.graph import components, labelled
 from lodeframe.llm.scratch import dropped, partitions, written
 
@@ -134,6 +134,7 @@ def _first_pass(docs: DataFrame, key: str, text: str, width: int, counters: int,
         some = np.flatnonzero(chunks.any(1))
         none = pa.nulls(len(some), pa.int64())
         yield rows(kind=pa.array(np.ones(len(some), np.int32)), doc_id=none, text_hash=none, n=pa.array(some, pa.int64()), fp=none, x=pa.array([np.minimum(chunks[k], 65535).astype(np.uint16).tobytes() for k in some], pa.binary()))
+        released()
 
     picked = docs.select(F.col(key).cast("long").alias("d"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t"))
     return picked.mapInArrow(read, "kind int, doc_id long, text_hash long, n long, fp long, x binary")
@@ -197,6 +198,7 @@ def _prefixes(docs: DataFrame, key: str, text: str, width: int, least: int, coun
                     k = (keys[at] // np.uint64(parts)).astype(np.uint32)
                     blobs.append(b"".join((np.array([len(docs_), len(at)], np.int64).tobytes(), prints[docs_].tobytes(), sizes[docs_].tobytes(), k.tobytes(), (before[at] >> np.uint64(13)).astype(np.uint32).tobytes(), local.astype(np.uint16).tobytes(), ranks[at].astype(np.uint8).tobytes())))
                 yield rows(part=pa.array(some, pa.int32()), blob=pa.array(blobs, pa.binary()))
+        released()
 
     return docs.select(F.col(text).alias("t")).mapInArrow(dealt, "part int, blob binary")
 
@@ -415,6 +417,7 @@ def _fetched(docs: DataFrame, key: str, text: str, width: int, hash_key: int, wa
                         found.append(k)
                 if found:
                     yield rows(fp=pa.array(prints[found]), x=pa.array([sets[k].tobytes() for k in found], pa.binary()))
+        released()
 
     return picked.mapInArrow(fetched, "fp long, x binary")
 
@@ -533,6 +536,7 @@ def _forests(blocks: DataFrame, sets: DataFrame, least: int, tasks: int) -> Data
         for (_, low, high), fp, at in _cut(table, names):
             found = block_forest([np.frombuffer(x[k], np.uint64) for k in at.tolist()], component[at], None if low == high else side[at], least)
             out += [(fp[i], fp[j]) for i, j in found]
+        released()
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     placed = blocks.select(*names, "fp", "n", "component", "side")

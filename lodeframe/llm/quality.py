@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.columns import column, raw_texts, rows
+from lodeframe.llm.columns import column, raw_texts, released, rows
 
 SAMPLE = 5000  # labelled documents that the network is fitted on
 WINDOWS = 4  # chunks of each of them
@@ -208,6 +208,7 @@ def _scored(net: Network, key: str, text: str, docs: DataFrame, keep: float | No
                 yield batch.filter(pa.array(p >= keep))
             else:
                 yield rows(doc_id=column(batch, "d").cast(pa.int64()), held_out=column(batch, "h"), score=p, predicted=pa.array((p >= CUT).astype(np.int32), pa.int32()))
+        released()
 
     if keep is not None:
         return docs.mapInArrow(score, docs.schema)
