@@ -594,7 +594,7 @@ def _joined(docs: DataFrame, key: str, text: str, width: int, least: int, counte
     plain = first.filter("kind = 0").select("doc_id", "text_hash", "n", "fp")
     sets = plain.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     placed = written(sets.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
-    names = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    names = written(placed.groupBy("root").agg(F.min("least_id").alias("component_id")), "names")  # written, so that a large component's rows can be split in the join
     named = written(placed.join(names, "root").select("fp", "component_id"), "named")
     whole = plain.join(named, "fp", "left")
     return whole.withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
