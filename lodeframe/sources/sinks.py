@@ -24,8 +24,9 @@ def in_contract(df: DataFrame, table: Table) -> DataFrame:
 def write_table(df: DataFrame, table: Table, root: str | Path, label: str, partitioned: bool = False, replace: bool = False, row_group_bytes: int | None = None) -> list[Path]:
     """Write df as the table's columns below root/<table>, sorted by date (nulls last) and key; returns the files.
 
-    label names the files (history, or a day). replace deletes the table's files first, as for full reloads. Rows
-    go to a staging folder, then every file is renamed to its place, so that no reader sees half a file.
+    label names the files (history, or a day). replace deletes the table's other files, as for full reloads. Rows
+    go to a staging folder, then every file is renamed to its place, so that no reader sees half a file; old files go
+    only when the new ones are there, so that a crash in between loses no row.
     """
     root = Path(root)
     staging = root / ".staging" / uuid.uuid4().hex
@@ -43,8 +44,7 @@ def write_table(df: DataFrame, table: Table, root: str | Path, label: str, parti
         else:
             # one file a table is the layout that is asked for here; large tables are partitioned
             plain.repartition(1).sortWithinPartitions(*order).write.options(**options).parquet(str(staging))
-        if replace and target.exists():
-            shutil.rmtree(target)
+        before = set(target.rglob("*.parquet")) if replace else set()
         out, counts = [], {}
         for part in sorted(staging.rglob("*.parquet")):
             folder = target / part.parent.relative_to(staging)
@@ -53,6 +53,8 @@ def write_table(df: DataFrame, table: Table, root: str | Path, label: str, parti
             name = f"{label}_{k}.parquet" if partitioned else f"{table.name}{'' if label == '' else '_' + label}.parquet"
             os.replace(part, folder / name)
             out.append(folder / name)
+        for old in before.difference(out):
+            old.unlink()
         return out
     finally:
         shutil.rmtree(staging, ignore_errors=True)
