@@ -13,7 +13,8 @@ import yaml
 from lodeframe import logs
 from lodeframe.catalog import Catalog, CatalogError
 from lodeframe.config import Config, ConfigError, load_config, redacted
-from lodeframe.contract import Contract, ContractError, load, markdown, mermaid, star_schema
+from lodeframe.contract import Contract, ContractError, load, star_schema
+from lodeframe.documents import markdown, mermaid
 from lodeframe.engine import QueryEngine
 from lodeframe.errors import QueryError
 from lodeframe.generator.runner import GeneratorError, frames, generate_day, generate_history

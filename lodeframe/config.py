@@ -92,20 +92,23 @@ def overrides(env: Mapping[str, str]) -> dict:
 
 def filled(value: Any, env: Mapping[str, str]) -> Any:
     """value with its variables put in; a value that is one variable and nothing else takes the YAML type of its text."""
-    if isinstance(value, Mapping):
-        return {k: filled(v, env) for k, v in value.items()}
-    if isinstance(value, list):
-        return [filled(v, env) for v in value]
-    if not isinstance(value, str):
-        return value
-
-    def put(m: re.Match) -> str:
-        if (found := env.get(m[1]) or m[2]) is None:
-            raise ConfigError(f"the variable {m[1]} is not set, and {value!r} gives no default")
-        return found
-
-    text = _VARIABLE.sub(put, value)
-    return yaml.safe_load(text) if _VARIABLE.fullmatch(value) else text
+    match value:
+        case Mapping():
+            return dict(zip(value, filled(list(value.values()), env), strict=True))
+        case list():
+            return [filled(v, env) for v in value]
+        case str() if found := list(_VARIABLE.finditer(value)):
+            return _put_in(value, found, env)
+    return value
+
+
+def _put_in(value: str, found: list[re.Match], env: Mapping[str, str]) -> Any:
+    known = {m[1]: env.get(m[1]) or m[2] for m in found}
+    if missing := [name for name, text in known.items() if text is None]:
+        raise ConfigError(f"{value!r} needs the variable {', '.join(missing)}: it is not set and has no default")
+    if found[0][0] == value:
+        return yaml.safe_load(known[found[0][1]])
+    return _VARIABLE.sub(lambda m: env.get(m[1]) or m[2], value)
 
 
 def dotenv(path: Path) -> dict[str, str]:

@@ -9,7 +9,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from lodeframe import cli, config, contract, logs
+from lodeframe import cli, config, contract, documents, logs
 from lodeframe.functions import calendar
 from lodeframe.generator.random import Draws
 from lodeframe.sources import files
@@ -33,9 +33,11 @@ def test_contract():
     c = contract.from_dict(SMALL)
     assert [f.simpleString() for f in c.table("fact_b").struct] == ["k:bigint", "a:int", "d:date", "m:decimal(12,2)"]
     assert contract.type_name(contract.spark_type("decimal( 6, 4 )")) == "DECIMAL(6,4)"
-    assert 'dim_a ||--o{ fact_b : "a"' in contract.mermaid(c) and "varchar b" not in contract.mermaid(c, full=False)
-    assert "| `b` | VARCHAR | yes | values: `x`, `y` |" in contract.markdown(c)
+    assert 'dim_a ||--o{ fact_b : "a"' in documents.mermaid(c) and "varchar b" not in documents.mermaid(c, full=False)
+    assert "| `b` | VARCHAR | yes | values: `x`, `y` |" in documents.markdown(c)
     star = contract.star_schema()
+    drawn = documents.mermaid(star)
+    assert 'fact_production ||--|{ fact_vehicle_component : "vin"' in drawn and drawn.count("--") == 26
     assert (len(star.tables), sum(len(t.columns) for t in star.tables.values()), sum(len(t.foreign_keys) for t in star.tables.values())) == (15, 122, 26)
 
 
