@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from lodeframe.plans import catalogue
+from lodeframe.plans import catalogue, platform
 
 SF = "/root/testdata/sf0.01"
 
@@ -27,10 +27,10 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL | platform.ORACLE_SQL))
 def test_query(spark, oracle, name):
-    got = catalogue.QUERIES[name](spark, SF)
-    want = oracle.execute(catalogue.ORACLE_SQL[name])
+    got = (catalogue.QUERIES | platform.QUERIES)[name](spark, SF)
+    want = oracle.execute((catalogue.ORACLE_SQL | platform.ORACLE_SQL)[name])
     names = [d[0] for d in want.description]
     want = [dict(zip(names, r)) for r in want.fetchall()]
     assert sorted(got.columns) == sorted(names)
