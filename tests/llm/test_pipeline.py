@@ -64,3 +64,37 @@ def test_stages(spark):
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op")}
+
+
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, gone_id int, leaked string, component_id string, score string, t int"
+
+
+def chained(spark, rows):
+    """What each stage leaves of rows with columns whose names stages use themselves."""
+    docs = spark.createDataFrame([(d, t, None, s, None, None, "x", None, "y", k) for k, (d, t, s) in enumerate(rows)], EXTRA)
+    columns, left = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.written(stage(spark, docs, "/root/testdata/sf0.001"), "stage")
+        assert name == "packing" or docs.columns == columns, name
+        left.append(docs.collect())
+    return left
+
+
+def test_odd_rows_through_all_stages(spark):
+    base = 10**9  # no labelled document, so that the classifier knows nothing and keeps all rows
+    long_text = " ".join(f"w{k * k % 9973}" for k in range(30000))
+    rows = [(base + 1, None, None), (base + 2, "", "web"), (base + 3, long_text, None), (base + 4, long_text, "web"), (base + 5, "a text of its own, told twice over", None), (base + 5, "a text of its own, told twice over", None), (base + 6, "short", "x"), (None, "words without a key stand here alone", None)]
+    kept, single, clean, redacted, packed = chained(spark, rows)
+    assert len(kept) == len(rows)
+    assert sorted(str(r.doc_id) for r in single) == sorted(str(d) for d in (base + 1, base + 2, base + 3, base + 5, base + 6, None))
+    assert len(clean) == len(redacted) == 6 and {r.text for r in redacted} == {t for _, t, _ in rows}
+    library = Tokenizer.from_file(tokenizer_path())
+    want = {d: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for d, t, _ in rows if d != base + 4}
+    pieces = {}
+    for r in packed:
+        pieces[r.doc_id] = pieces.get(r.doc_id, 0) + r.length
+    assert pieces == want
+
+
+def test_no_rows_through_all_stages(spark):
+    assert [len(x) for x in chained(spark, [])] == [0] * 5
