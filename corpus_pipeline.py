@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages that each call one operator, every result written and reread as the next one's docs."""
+"""The corpus pipeline: stages that each call one operator, every result written and reread as the next one's docs.
+
+Texts of any length are taken whole, an empty table gives an empty result, and other columns may have any name; all
+stages but the last return the columns they got.
+"""
 
 from __future__ import annotations
 
@@ -12,27 +16,29 @@ from lodeframe.llm.scratch import written
 
 
 def quality_kept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on the labelled ones among them, accepts."""
+    """Documents that the quality classifier, fitted on the labelled ones among them, accepts. Null and empty texts are
+    scored as an empty text; without labels all rows stay; repeated rows stay or go together."""
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_copies_gone(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, the one with the smallest key. Null and empty texts link with nothing
+    and stay; of repeated rows one stays."""
     return jaccard.one_of_each(docs)
 
 
 def benchmark_gone(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no item of the benchmark."""
+    """Documents that leak no item of the benchmark. Null and empty texts and rows without a key stay."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets_gone(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets replaced by a mark."""
+    """All documents, with their secrets replaced by a mark. Null and empty texts stay as they are."""
     return secrets.redacted(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents that are left, packed into sequences of at most 1024 tokens."""
+    """All documents that are left, packed into sequences of at most 1024 tokens. Null and empty texts are the end id."""
     return packing.pack(docs, tokenizer_path())
 
 
