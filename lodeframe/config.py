@@ -15,6 +15,7 @@ from lodeframe.engine import Limits
 
 PREFIX = "LODE__"
 SECRET = re.compile(r"password|secret|token|api_?key|credential|connection_string", re.IGNORECASE)
+FOLDER = "LODE_CONFIG"  # the variable that names the folder of settings
 _VARIABLE = re.compile(r"\$\{(\w+)(?::-([^}]*))?\}")
 
 
@@ -148,9 +149,13 @@ def find_folder(start: Path | None = None) -> Path | None:
 
 
 def load_config(folder: str | Path | None = None, env: Mapping[str, str] | None = None) -> Config:
+    real = dict(os.environ if env is None else env)
+    if not folder and (named := real.get(FOLDER)):
+        if not Path(named).is_dir():
+            raise ConfigError(f"{FOLDER} names {named}, which is no folder")
+        folder = named
     folder = Path(folder) if folder else find_folder()
     base = folder.absolute().parent if folder else Path.cwd()
-    real = dict(os.environ if env is None else env)
     env = dotenv(base / ".env") | real
     found: dict = {}
     for name in ("app.yaml", "local.yaml"):

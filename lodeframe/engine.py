@@ -172,6 +172,10 @@ class QueryEngine:
             thread.join(GRACE)
             if thread.is_alive():
                 log.error("query_stuck id=%s", query_id)
+                # its thread keeps this session; later statements get one of their own
+                with _lock:
+                    for key in [k for k, other in _sandboxes.items() if other is box]:
+                        del _sandboxes[key]
             raise QueryError("timeout", f"the query took more than {seconds:g} s", text)
         if "error" in done:
             raise classified(done["error"], text, box.tables) from None

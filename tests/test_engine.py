@@ -1,11 +1,13 @@
 """The engine's statements, results, limits and errors, over two tables of a few rows."""
 
+import time
 from datetime import date
 from decimal import Decimal
 from itertools import product
 
 import pytest
 
+from lodeframe import engine as engines
 from lodeframe import guard
 from lodeframe.catalog import Catalog
 from lodeframe.contract import from_dict
@@ -157,3 +159,13 @@ def test_faults_are_told_apart(engine, kind, sql):
     assert told.to_llm().startswith(f"Query error ({kind}):") and told.to_dict()["kind"] == kind
     if kind == "unknown_table":
         assert "receipt, stall" in told.hint
+
+
+def test_a_stuck_statement_keeps_its_session_to_itself(engine, monkeypatch):
+    monkeypatch.setattr(engines, "GRACE", 0.1)
+    box = engine._sandbox()
+    assert engine._sandbox() is box
+    with pytest.raises(QueryError) as e:
+        engine._within(0.1, time.monotonic(), "stuck", "values (1)", box, lambda: time.sleep(2))
+    assert e.value.kind == "timeout" and engine._sandbox() is not box
+    assert engine.execute("values (5)").rows == [(5,)]

@@ -142,3 +142,11 @@ def test_stream(spark, tmp_path):
     q = windowed_counts(arrivals(spark, tmp_path, t, 9), "d", "120 days", "30 days").writeStream.format("memory").queryName("counted").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sum(r.n for r in spark.table("counted").collect()) == 3
+
+
+def test_settings_folder_by_variable(tmp_path):
+    (tmp_path / "own").mkdir()
+    (tmp_path / "own" / "app.yaml").write_text("catalog: {busy_timeout_seconds: 3}")
+    assert config.load_config(env={"LODE_CONFIG": str(tmp_path / "own")}).catalog.busy_timeout_seconds == 3
+    with pytest.raises(config.ConfigError, match="LODE_CONFIG"):
+        config.load_config(env={"LODE_CONFIG": str(tmp_path / "nowhere")})
