@@ -131,7 +131,7 @@ select p.event_id, p.user_id, p.value, v.view_id from p asof left join v on p.us
 def asof_last_view_before_purchase(t):
     buys = t("events").filter("event_type = 'purchase'").select("event_id", "user_id", "ts", "value")
     views = t("events").filter("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
-    return asof_join(buys, views, ["user_id"], "ts", "ts", ["view_id"], tie="view_id").select("event_id", "user_id", "value", "view_id")
+    return asof_join(buys, views, ["user_id"], "ts", "ts", ["view_id"], tie="view_id", bucket=lambda ts: ts.cast("date")).select("event_id", "user_id", "value", "view_id")
 
 
 # -- aggregates -----------------------------------------------------------------------------------------------------------
