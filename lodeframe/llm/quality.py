@@ -3,7 +3,8 @@
 A document is cut into overlapping chunks that cover it whole. Bytes are embedded; filters of WIDTH bytes, moved
 by STRIDE, are learned; each chunk keeps a filter's largest response (max-pooling). A document's features are the
 mean and the largest of its chunks' responses, combined by a logistic unit into one probability. The network is
-trained on the driver from a bounded sample of labelled documents (SAMPLE documents, WINDOWS chunks of each).
+trained on the driver from a bounded sample of labelled documents, each whole: SAMPLE documents of at most LONGEST
+bytes each and BYTES together.
 """
 
 from __future__ import annotations
@@ -13,13 +14,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeframe.llm.columns import column, raw_texts, released, rows
 
 SAMPLE = 5000  # labelled documents that the network is fitted on
-WINDOWS = 4  # chunks of each of them
+LONGEST = 1 << 22  # bytes of such a document, at most
+BYTES = 1 << 25  # bytes of them all, at most; where they have more, the longest ones are left out of the sample
+BATCH, BATCH_BYTES = 64, 1 << 20  # documents of a training step, and bytes after which a step takes no more
 EMBED, FILTERS, STRIDE, WIDTH = 6, 24, 4, 16
 CHUNK = 256  # positions of a chunk, STRIDE bytes each
 STEP = 240
@@ -27,6 +30,18 @@ PIECE = 1 << 18
 CUT = 0.3
 
 
+def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes, padded and joined; of each chunk its text, and its first and last position, the last excluded."""
+    sizes = np.array([max(WIDTH, -(-len(t) // STRIDE) * STRIDE) for t in texts])
+    flat = np.frombuffer(b"".join(t.ljust(n, b"\0") for t, n in zip(texts, sizes.tolist(), strict=True)), np.uint8)
+    first = np.append(0, np.cumsum(sizes // STRIDE))[:-1]
+    places = sizes // STRIDE - WIDTH // STRIDE + 1
+    chunks = 1 + np.maximum(0, -(-(places - CHUNK) // STEP))
+    of = np.repeat(np.arange(len(texts)), chunks)
+    begin = first[of] + (np.arange(len(of)) - np.repeat(np.cumsum(chunks) - chunks, chunks)) * STEP
+    return flat, of, begin, np.minimum(begin + CHUNK, (first + places)[of])
+
+
 class Network:
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
@@ -65,20 +80,12 @@ class Network:
         if len(texts) == 1 and len(texts[0]) > 4 * PIECE:
             peak, total, chunks = self._long(texts[0])
         else:
-            sizes = np.array([max(WIDTH, -(-len(t) // STRIDE) * STRIDE) for t in texts])
-            flat = np.frombuffer(b"".join(t.ljust(n, b"\0") for t, n in zip(texts, sizes.tolist(), strict=True)), np.uint8)
+            flat, of, begin, end = laid_out(texts)
             z = self.responses(flat)
-            first = np.append(0, np.cumsum(sizes // STRIDE))[:-1]
-            places = sizes // STRIDE - len(self.filters) + 1
-            chunks = 1 + np.maximum(0, -(-(places - CHUNK) // STEP))
-            of = np.repeat(np.arange(len(texts)), chunks)
-            nth = np.arange(len(of)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-            begin = first[of] + nth * STEP
-            end = np.minimum(begin + CHUNK, (first + places)[of])
             z = np.concatenate([z, z[-1:]])
             top = np.maximum(np.maximum.reduceat(z, np.stack([begin, end], 1).ravel())[::2], 0)
-            heads = np.cumsum(chunks) - chunks
-            peak, total, chunks = np.maximum.reduceat(top, heads), np.add.reduceat(top, heads), chunks[:, None]
+            heads = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            peak, total, chunks = np.maximum.reduceat(top, heads), np.add.reduceat(top, heads), np.bincount(of)[:, None]
         features = np.concatenate([total / chunks, peak], 1)
         logit = (features @ self.weights + self.offset).astype(np.float64)
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
@@ -100,11 +107,21 @@ class Network:
         return peak, total, count
 
 
-def train(windows: np.ndarray, sizes: np.ndarray, labels: np.ndarray, epochs: int = 6, steps: int = 400, rate: float = 0.02, seed: int = 7) -> Network:
-    """Fit by Adam, for `epochs` or at least `steps` steps.
+def steps_of(order: np.ndarray, texts: list[bytes]):
+    """order in runs of BATCH documents, or fewer that reach BATCH_BYTES."""
+    run, size = [], 0
+    for i in order.tolist():
+        run.append(i)
+        size += len(texts[i])
+        if len(run) == BATCH or size >= BATCH_BYTES:
+            yield np.array(run)
+            run, size = [], 0
+    if run:
+        yield np.array(run)
 
-    windows: uint8 (documents, WINDOWS, bytes); sizes: bytes of each window, 0 where there is none; labels: 0 or 1.
-    """
+
+def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, steps: int = 400, rate: float = 0.02, seed: int = 7) -> Network:
+    """Fit by Adam to whole texts and their labels, 0 or 1, for `epochs` or at least `steps` steps."""
     net = Network()
     if len(labels) == 0 or labels.min() == labels.max():
         net.offset[0] = 0.0 if len(labels) == 0 else 4.0 * (2 * labels[0] - 1)
@@ -112,38 +129,34 @@ def train(windows: np.ndarray, sizes: np.ndarray, labels: np.ndarray, epochs: in
     rng = np.random.default_rng(seed)
     first = [np.zeros_like(p) for p in net.parameters()]
     second = [np.zeros_like(p) for p in net.parameters()]
-    step, k = 0, len(net.filters)
-    has = sizes > 0
-    places = np.maximum(1, -(-sizes // STRIDE) - k + 1)
-    epochs = max(epochs, -(-steps * 64 // len(labels)))
+    step = 0
+    epochs = max(epochs, -(-steps * BATCH // len(labels)))
     for epoch in range(epochs):
-        for at in np.array_split(rng.permutation(len(labels)), max(1, len(labels) // 64)):
-            b, m = len(at), has[at].astype(np.float32)
-            raw = windows[at].reshape(b * WINDOWS, -1, STRIDE)
-            x = net.embedding[raw].reshape(b * WINDOWS, raw.shape[1], STRIDE * EMBED)
-            n = x.shape[1] - k + 1
-            z = sum(x[:, i : n + i] @ f for i, f in enumerate(net.filters)) + net.bias
-            z[np.arange(n)[None] >= places[at].reshape(-1, 1)] = -np.inf
-            best = z.argmax(1)
-            top = np.maximum(np.take_along_axis(z, best[:, None], 1)[:, 0], 0).reshape(b, WINDOWS, FILTERS) * m[:, :, None]
-            count = m.sum(1)[:, None]
-            peak_at = top.argmax(1)
-            features = np.concatenate([top.sum(1) / count, top.max(1)], 1)
+        for at in steps_of(rng.permutation(len(labels)), texts):
+            b = len(at)
+            flat, of, begin, end = laid_out([texts[i] for i in at.tolist()])
+            z = net.responses(flat)
+            reach = np.minimum(begin[:, None] + np.arange(CHUNK), end[:, None] - 1)
+            best = np.minimum(begin[:, None] + z[reach].argmax(1), end[:, None] - 1)  # (chunks, filters)
+            top = np.maximum(np.take_along_axis(z, best, 0), 0)
+            count = np.bincount(of)[:, None]
+            heads = (np.cumsum(count) - count[:, 0]).astype(np.int64)
+            peak = np.maximum.reduceat(top, heads)
+            peak_at = np.minimum.reduceat(np.where(top == peak[of], np.arange(len(of))[:, None], len(of)), heads)
+            features = np.concatenate([np.add.reduceat(top, heads) / count, peak], 1).astype(np.float32)
             p = 1 / (1 + np.exp(-(features @ net.weights + net.offset)))
             d = ((p - labels[at]) / b).astype(np.float32)
             g_features = d[:, None] * net.weights
-            g_top = np.repeat((g_features[:, None, :FILTERS] / count[:, :, None]), WINDOWS, 1) * m[:, :, None]
-            i, j = np.meshgrid(np.arange(b), np.arange(FILTERS), indexing="ij")
-            g_top[i, peak_at, j] += g_features[:, FILTERS:]
-            g_top *= top > 0
-            g = g_top.reshape(b * WINDOWS, FILTERS)
-            rows_of = np.arange(b * WINDOWS)[:, None]
+            g = (g_features[:, :FILTERS] / count).astype(np.float32)[of]
+            g[peak_at, np.arange(FILTERS)] += g_features[:, FILTERS:]
+            g *= top > 0
+            raw = flat.reshape(-1, STRIDE)
             g_embedding, g_filters = np.zeros_like(net.embedding), []
             for t, f in enumerate(net.filters):
-                seen = x[rows_of, best + t]  # (windows, filters, inputs)
+                seen = net.embedding[raw[best + t]].reshape(*best.shape, STRIDE * EMBED)  # (chunks, filters, inputs)
                 g_filters.append(np.einsum("wfi,wf->if", seen, g))
                 back = (g[:, :, None] * f.T[None]).reshape(-1, EMBED)
-                np.add.at(g_embedding, raw[rows_of, best + t].reshape(-1), back)
+                np.add.at(g_embedding, raw[best + t].reshape(-1), back)
             grads = [g_embedding, *g_filters, g.sum(0), features.T @ d + 1e-4 * net.weights, np.array([d.sum()], np.float32)]
             step += 1
             for param, grad, f1, f2 in zip(net.parameters(), grads, first, second, strict=True):
@@ -160,33 +173,17 @@ def held_out(key: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Network:
-    """A network fitted on up to `sample` labelled documents that are not held out, chosen by a hash of the key."""
-    size = (CHUNK + WIDTH // STRIDE - 1) * STRIDE
-
-    def cut(batches):
-        for batch in batches:
-            texts = raw_texts(column(batch, "t"))
-            windows = []
-            for t, key_ in zip(texts, column(batch, "d").to_pylist(), strict=True):
-                last = max(0, len(t) - size)
-                at = range(0, last + 1, STEP * STRIDE) if last <= (WINDOWS - 1) * STEP * STRIDE else np.random.default_rng(abs(key_)).integers(0, last + 1, WINDOWS)
-                windows.append(b"".join(t[a : a + size].ljust(size, b"\0") for a in list(at)[:WINDOWS]))
-            ends = pa.array([len(t) for t in texts], pa.int64())
-            yield rows(d=column(batch, "d").cast(pa.int64()), y=column(batch, "y").cast(pa.int32()), n=ends, w=pa.array(windows, pa.binary()))
-
+    """A network fitted on up to `sample` labelled documents that are not held out, chosen by a hash of the key and
+    taken whole; those over LONGEST bytes, and the longest beyond BYTES together, are left out of the sample."""
     marked = labels.select(F.col(key).cast("long").alias("d"), F.col(label).cast("int").alias("y")).filter("d is not null and y in (0, 1)").groupBy("d").agg(F.max("y").alias("y"))
     chosen = marked.filter(~held_out("d")).orderBy(F.xxhash64("d"), "d").limit(sample)
-    found = docs.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t")).join(F.broadcast(chosen), "d").mapInArrow(cut, "d long, y int, n long, w binary")
-    found = found.groupBy("d").agg(F.min(F.struct("y", "n", "w")).alias("s")).select("d", "s.*").toArrow()  # a row for each key
-    found = sorted(zip(*(found.column(c).to_pylist() for c in "dynw"), strict=True))
-    windows = np.zeros((len(found), WINDOWS, size), np.uint8)
-    sizes = np.zeros((len(found), WINDOWS), np.int64)
-    for k, (_, _, n, w) in enumerate(found):
-        flat = np.frombuffer(w, np.uint8).reshape(-1, size)
-        windows[k, : len(flat)] = flat
-        # windows of a short text end with it; those of a long one, drawn at random, are full
-        sizes[k, : len(flat)] = np.maximum(1, np.minimum(size, n - STEP * STRIDE * np.arange(len(flat)))) if n - size <= (WINDOWS - 1) * STEP * STRIDE else size
-    return train(windows, sizes, np.array([y for _, y, _, _ in found], np.float32))
+    whole = docs.select(F.col(key).cast("long").alias("d"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    found = whole.withColumn("n", F.octet_length("t")).filter(F.col("n") <= LONGEST).join(F.broadcast(chosen), "d")
+    found = found.groupBy("d").agg(F.min(F.struct("n", F.col("t").cast("binary").alias("t"), "y")).alias("s")).select("d", "s.*")  # a row for each key
+    shorter = F.sum(F.col("n").cast("long")).over(Window.orderBy("n", "d").rowsBetween(Window.unboundedPreceding, 0))  # of a sample's rows
+    found = found.withColumn("so_far", shorter).filter(F.col("so_far") <= BYTES).select("d", "y", "t").toArrow()
+    found = sorted(zip(*(found.column(c).to_pylist() for c in "dyt"), strict=True))
+    return train([t for _, _, t in found], np.array([y for _, y, _ in found], np.float32))
 
 
 @lru_cache(2)
