@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import asdict
 from datetime import timedelta
 from functools import reduce
 from pathlib import Path
@@ -17,12 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.catalog import Catalog
+from lodeframe.config import ConfigError, load_config, redacted
 from lodeframe.contract import from_dict, star_schema
 from lodeframe.engine import Limits, QueryEngine
 from lodeframe.errors import QueryError
 from lodeframe.generator.tables import Tables
 from lodeframe.generator.world import World
 from lodeframe.operators.profile import top_values
+from lodeframe.operators.validate import validate
 from lodeframe.refresh import Outcome, refresh
 from lodeframe.sources.files import Dataset, HadoopConnector, register
 
@@ -173,3 +176,105 @@ def generated_days(spark: SparkSession, sf_dir: str) -> DataFrame:
         per_key = both.groupBy(*key).agg(F.count_if(F.col("source") == 1).alias("a"), F.count_if(F.col("source") == 2).alias("b"))
         out.append(per_key.agg(F.lit(name).alias("table_name"), F.count_if((F.col("a") > 1) | (F.col("b") > 1)).alias("repeated_keys"), F.count_if(F.col("b") == 0).alias("only_by_days"), F.count_if(F.col("a") == 0).alias("only_in_snapshot")))
     return reduce(DataFrame.unionByName, out)
+
+
+STRICT = from_dict(
+    {
+        "tables": {
+            "region": {"kind": "dimension", "primary_key": ["r_name"], "columns": ["r_regionkey INTEGER 1..3", "r_name VARCHAR in AFRICA|ASIA|EUROPE"]},
+            "nation": {"kind": "dimension", "primary_key": ["n_nationkey"], "columns": ["n_nationkey INTEGER", "n_name DATE", "n_regionkey INTEGER"]},
+            "customer": {"kind": "fact", "primary_key": ["c_mktsegment"], "columns": ["c_custkey BIGINT", "c_nationkey INTEGER", "c_acctbal DOUBLE 0..", "c_mktsegment VARCHAR"], "foreign_keys": [{"columns": ["c_nationkey"], "references": "nation.n_nationkey"}]},
+            "part": {"kind": "dimension", "primary_key": ["p_partkey"], "columns": ["p_partkey BIGINT", "p_size INTEGER"], "checks": [{"name": "small", "expr": "p_size <= 30"}]},
+            "lineitem": {"kind": "fact", "primary_key": ["l_orderkey", "l_linenumber"], "columns": ["l_orderkey BIGINT", "l_linenumber INTEGER", "l_partkey BIGINT"], "foreign_keys": [{"columns": ["l_partkey"], "references": "part.p_partkey"}]},
+            "warehouse": {"kind": "dimension", "primary_key": ["w_key"], "columns": ["w_key BIGINT"]},
+        }
+    }
+)
+_BROKEN = {
+    ("region", "min:r_regionkey"): "select 1 from region where r_regionkey < 1",
+    ("region", "max:r_regionkey"): "select 1 from region where r_regionkey > 3",
+    ("region", "allowed_values:r_name"): "select 1 from region where r_name not in ('AFRICA', 'ASIA', 'EUROPE')",
+    ("customer", "primary_key_unique"): "select 1 from customer group by c_mktsegment having count(*) > 1",
+    ("customer", "min:c_acctbal"): "select 1 from customer where c_acctbal < 0",
+    ("part", "check:small"): "select 1 from part where p_size > 30 and p_partkey % 2 = 0",
+    ("lineitem", "primary_key_unique"): "select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1",
+    ("lineitem", "foreign_key:l_partkey"): "select distinct l_partkey from lineitem where l_partkey not in (select p_partkey from part where p_partkey % 2 = 0)",
+}
+
+
+@query(
+    " union all ".join(f"select * from (select '{t}' as table_name, '{c}' as check, count(*) as failing_rows, least(3, count(*)) as n_shown, '' as detail from ({sql})) where failing_rows > 0" for (t, c), sql in _BROKEN.items())
+    + " union all select * from (values ('warehouse', 'files', 0, 0, 'no files'), ('nation', 'schema', 0, 0, 'n_name is VARCHAR, not DATE'), ('customer', 'foreign_key:c_nationkey', 0, 0, 'nation is missing or invalid'))"
+)
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The issues of a contract that the tables break in every way: a table without files, a wrong type, each kind of rule."""
+    frames = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*t.names) for name, t in STRICT.tables.items() if name != "warehouse"}
+    frames["part"] = frames["part"].filter("p_partkey % 2 = 0")  # so that every other part's lines are orphans
+    issues = validate(STRICT, frames).frame(spark)
+    return issues.select("table_name", "check", "failing_rows", F.size("sample").cast("long").alias("n_shown"), "detail")
+
+
+# (setting, its value, the value that is shown)
+_SETTINGS = [
+    ("environment", "test", "test"), ("paths.data_root", "/from/local", "/from/local"), ("paths.docs", "docs of ada", "docs of ada"), ("query.max_rows", "77", "77"),
+    ("catalog.history_limit", "9", "9"), ("logging.level", "WARNING", "WARNING"), ("storage.backend", "local", "local"), ("datasets.api_token", "abc", "***"), ("refused", "query.max_rows must be positive", ""),
+]
+
+
+@query("select * from (values " + ", ".join(map(str, _SETTINGS)) + ") as t(setting, value, displayed)")
+def settings_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings from a file, a local file over it, variables over both, variables put into values, and hidden secrets."""
+    with tempfile.TemporaryDirectory(prefix="lodeframe-settings-") as folder:  # the driver's own; no executor reads it
+        base = Path(folder) / "config"
+        base.mkdir()
+        (base / "app.yaml").write_text("environment: test\npaths: {data_root: /from/app, docs: 'docs of ${WHO}'}\nquery: {max_rows: 5}\ncatalog: {history_limit: '${MANY:-9}'}\n")
+        (base / "local.yaml").write_text("paths: {data_root: /from/local}\nlogging: {level: INFO}\n")
+        (base / "datasets.yaml").write_text("api_token: abc\n")
+        (Path(folder) / ".env").write_text("WHO=ada\nLODE__LOGGING__LEVEL=WARNING\n")
+        config = load_config(base, {"LODE__QUERY__MAX_ROWS": "77"})
+        try:
+            load_config(base, {"LODE__QUERY__MAX_ROWS": "0"})
+            refused = ""
+        except ConfigError as e:
+            refused = str(e)
+    found, seen = asdict(config), redacted(config)
+    rows = [("refused", refused, "")]
+    for setting, *_ in _SETTINGS[:-1]:
+        section, _, key = setting.partition(".")
+        rows.append((setting, *(str(c[section][key] if key else c[section]) for c in (found, seen))))
+    return spark.createDataFrame(rows, "setting string, value string, displayed string")
+
+
+@query(
+    "select 'refreshes that made a version' as what, 2 as n union all select 'refreshes without a change', 1 union all select 'active version', 2 union all select 'files of version 1', " + str(len(TRADE.tables)) + " union all select 'versions made from an old one', 0"
+    " union all select 'rows of both versions', 2 * (" + " + ".join(f"(select count(*) from {t})" for t in TRADE.tables) + ")"
+)
+def catalog_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after three refreshes: log, active version, older version, and what becomes of one that comes too late."""
+    with _catalog() as catalog:
+        for force in (False, False, True):
+            _refreshed(spark, sf_dir, catalog, force=force)
+        old, late = catalog.version(1), catalog.version(2)
+        lost = catalog.activate(1, "late", late.files, late.stats, None, True, "hadoop", "late")
+        state = catalog.state_frames(spark)
+        log = state["_refresh_log"].agg(F.count_if(F.col("status") == "active"), F.count_if(F.col("status") == "no_change")).first()
+        rows = [("refreshes that made a version", log[0]), ("refreshes without a change", log[1]), ("active version", state["_data_version"].first().id), ("files of version 1", sum(map(len, old.files.values()))), ("versions made from an old one", int(lost is not None)), ("rows of both versions", sum(s.rows for v in (old, late) for s in v.stats))]
+    return spark.createDataFrame(rows, "what string, n long")
+
+
+@query(
+    "select * from (values ('describe', 's_suppkey', 'bigint'), ('describe', 's_name', 'string'), ('describe', 's_nationkey', 'int'), ('describe', 's_acctbal', 'double'), ('same names', 'r_name, r_name_1, r_regionkey', 'false'), ('cut', '3 rows', 'true')) as t(statement, k, v)"
+    + " union all " + " union all ".join(f"select 'summarize', '{c}', concat_ws(' ', min({c}), max({c}), count(distinct {c}), count(*)) from supplier" for c in ("s_suppkey", "s_name", "s_nationkey"))
+)
+def engine_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the guarded engine tells of tables and columns, and the shape of cut results and of those with equal names."""
+    with _catalog() as catalog:
+        _refreshed(spark, sf_dir, catalog)
+        engine = QueryEngine(spark, catalog, Limits(max_rows=50, timeout_seconds=WAIT), TRADE)
+        rows = [("describe", *map(str, r[:2])) for r in engine.execute("describe supplier").rows]
+        told = engine.execute("summarize select s_suppkey, s_name, s_nationkey from supplier").to_records()
+        rows += [("summarize", r["column_name"], " ".join(str(r[c]) for c in ("min", "max", "unique_values", "count"))) for r in told]
+        same = engine.execute("select r_name, r_name, r_regionkey from region")
+        cut = engine.execute("select * from customer", max_rows=3)
+        rows += [("same names", ", ".join(same.columns), str(same.truncated).lower()), ("cut", f"{cut.row_count} rows", str(cut.truncated).lower())]
+    return spark.createDataFrame(rows, "statement string, k string, v string")
